@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: A-Z to lower case and the ASCII white space to blanks; all other bytes stay.
@@ -62,7 +63,7 @@ def batches_of(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int)
         n = batch.num_rows
         if not n:
             continue
-        sizes = pa.compute.binary_length(batch.column(batch.schema.get_field_index(column)))
+        sizes = pc.binary_length(batch.column(batch.schema.get_field_index(column)))
         cum = np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < n:
