@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, neighbours, packing, secrets, url_filter, warc
+from . import decontaminate, jaccard, neighbours, packing, secrets, suffix_dedup, url_filter, warc
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.repeated_spans(table(spark, sf_dir, "documents")))
+
+
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return neighbours.nearest(rows, rows.filter("vec_id % 100 = 0"))
@@ -39,7 +43,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_benchmark_decontamination, op4_jaccard_join, op6_nearest_neighbours, op7_warc, op8_url_filter, op9_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_benchmark_decontamination, op4_jaccard_join, op5_suffix_dedup, op6_nearest_neighbours, op7_warc, op8_url_filter, op9_best_fit_packing)}
 
 _OP8_SQL = """
 WITH rules(host, path, action) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'block'),
