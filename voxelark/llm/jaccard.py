@@ -31,7 +31,7 @@ from .common import SPACED, Words, batches_of, materialize, mix64, shuffle_parti
 from .graph import components
 
 _U = np.uint64
-_BATCH = 4 << 20
+_BATCH = 1 << 20
 _BAND = 1.3
 _SLACK = 0.25
 _HASH_BITS = 50
@@ -198,8 +198,8 @@ def describe(df: DataFrame, k: int) -> DataFrame:
 def _matching_blocks(df: DataFrame, k: int, plan: Plan) -> DataFrame:
     """Rows (members): the classes, in order, of every block number that two or more classes have.
 
-    Keys travel in arrays, one for each class and hash partition, and are matched by a sort in
-    the partition.
+    Keys travel in arrays, one for each batch of texts and hash partition, and are matched by a
+    sort in the partition.
     """
     spark = df.sparkSession
     parts = shuffle_partitions(spark)
@@ -223,20 +223,23 @@ def _matching_blocks(df: DataFrame, k: int, plan: Plan) -> DataFrame:
             if not len(key):
                 continue
             dest = (key % _U(parts)).astype(np.int64)
-            order = np.argsort(owner * parts + dest, kind="stable")
-            group = (owner * parts + dest)[order]
-            head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-            offsets = np.concatenate([head, [len(group)]]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(values[dest[order][head]]), _i64(cls[owner[order][head]]), pa.ListArray.from_arrays(pa.array(offsets), _i64(key[order]))], ["p", "cls", "keys"]
-            )
+            order = np.lexsort((owner, dest))
+            dest, number = dest[order], cls.view(np.int64)[owner[order]]
+            first = np.concatenate([[True], (dest[1:] != dest[:-1]) | (number[1:] != number[:-1])])
+            head = np.flatnonzero(first)
+            n = np.diff(np.concatenate([head, [len(dest)]]))
+            to, runs = np.unique(dest[head], return_counts=True)
+            _, held = np.unique(dest, return_counts=True)
+            ends = lambda x: pa.array(np.concatenate([[0], np.cumsum(x)]).astype(np.int32))
+            columns = [pa.array(values[to]), pa.ListArray.from_arrays(ends(runs), pa.array(number[head])), pa.ListArray.from_arrays(ends(runs), pa.array(n)), pa.ListArray.from_arrays(ends(held), _i64(key[order]))]
+            yield pa.RecordBatch.from_arrays(columns, ["p", "cls", "n", "keys"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owners, keys = [], []
         for b in batches:
-            x = b.column(2)
-            owners.append(np.repeat(b.column(1).to_numpy(), np.diff(x.offsets.to_numpy())))
-            keys.append(x.flatten().to_numpy())
+            c, n, x = (b.column(i).flatten().to_numpy() for i in (1, 2, 3))
+            owners.append(np.repeat(c, n))
+            keys.append(x)
         if not keys:
             return
         key, owner = np.concatenate(keys), np.concatenate(owners)
@@ -254,7 +257,7 @@ def _matching_blocks(df: DataFrame, k: int, plan: Plan) -> DataFrame:
         for a in range(0, len(out), 20_000):
             yield pa.RecordBatch.from_arrays([pa.array(out[a : a + 20_000], type=pa.list_(pa.int64()))], ["members"])
 
-    sent = df.select("id", "text").mapInArrow(emit, "p int, cls long, keys array<long>")
+    sent = df.select("id", "text").mapInArrow(emit, "p int, cls array<long>, n array<long>, keys array<long>")
     return sent.repartition(parts, "p").mapInArrow(match, "members array<long>")
 
 
