@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, neighbours, packing, secrets, suffix_dedup, url_filter, warc
+from . import decontaminate, jaccard, language_model, neighbours, packing, secrets, suffix_dedup, url_filter, warc
 from .common import table
 
 
@@ -43,7 +43,11 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_benchmark_decontamination, op4_jaccard_join, op5_suffix_dedup, op6_nearest_neighbours, op7_warc, op8_url_filter, op9_best_fit_packing)}
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_benchmark_decontamination, op4_jaccard_join, op5_suffix_dedup, op6_nearest_neighbours, op7_warc, op8_url_filter, op9_best_fit_packing, op10_lm_scores)}
 
 _OP8_SQL = """
 WITH rules(host, path, action) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'block'),
