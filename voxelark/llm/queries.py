@@ -3,15 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language_model, neighbours, packing, secrets, suffix_dedup, url_filter, warc
+from . import decontaminate, jaccard, language_model, neighbours, packing, secrets, suffix_dedup, toxicity, url_filter, warc
 from .common import table
+from .language_model import held_out
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    net = toxicity.fit(*toxicity.training_rows(documents, table(spark, sf_dir, "labels")))
+    scored = toxicity.score_texts(documents, net, ["doc_id"])
+    held = held_out(F.col("doc_id"), 5, 0)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"]))
 
@@ -47,7 +57,7 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_benchmark_decontamination, op4_jaccard_join, op5_suffix_dedup, op6_nearest_neighbours, op7_warc, op8_url_filter, op9_best_fit_packing, op10_lm_scores)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_benchmark_decontamination, op4_jaccard_join, op5_suffix_dedup, op6_nearest_neighbours, op7_warc, op8_url_filter, op9_best_fit_packing, op10_lm_scores)}
 
 _OP8_SQL = """
 WITH rules(host, path, action) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'block'),
