@@ -307,10 +307,11 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return found.mapInArrow(run, "cls long, shingles array<long>").dropDuplicates(["cls"])
 
 
-def _next_pairs(groups: DataFrame, about: DataFrame, comp: DataFrame, refuted: DataFrame, plan: Plan, nearest: int = 4) -> DataFrame:
-    """For members of groups that span components: pairs with the nearest members of other components.
+def _next_pairs(groups: DataFrame, about: DataFrame, comp: DataFrame, refuted: DataFrame, plan: Plan) -> DataFrame:
+    """For members of groups that span components: the pair with the nearest member of another component.
 
-    Groups are cut into chunks of about ``_CHUNK`` members and compared chunk against chunk, so
+    Members of a chunk's largest component ask for none; every pair across components has another
+    end that does. Groups are cut into chunks of about ``_CHUNK`` members and compared chunk against chunk, so
     no task holds more than two chunks of a group.
     """
     rows = groups.withColumn("parts", F.ceil(F.size("members") / _CHUNK).cast("int")).select("g", "parts", F.explode("members").alias("cls"))
@@ -328,7 +329,8 @@ def _next_pairs(groups: DataFrame, about: DataFrame, comp: DataFrame, refuted: D
         width = min(map(len, sketch))
         m = np.stack([np.bitwise_xor.reduce(s.reshape(-1, width)) for s in sketch])
         a, b = [], []
-        for i in range(len(cls)):
+        kinds, size = np.unique(comp, return_counts=True)
+        for i in np.flatnonzero(comp != kinds[size.argmax()]):
             others = np.flatnonzero((comp != comp[i]) & (np.minimum(n, n[i]) * plan.den >= np.maximum(n, n[i]) * plan.num))
             if not len(others):
                 continue
@@ -338,7 +340,8 @@ def _next_pairs(groups: DataFrame, about: DataFrame, comp: DataFrame, refuted: D
             if no[i]:
                 stay = ~np.isin(cls[others], no[i])
                 others, far = others[stay], far[stay]
-            for j in others[np.argsort(far, kind="stable")[:nearest]]:
+            if len(others):
+                j = others[far.argmin()]
                 a.append(min(cls[i], cls[j]))
                 b.append(max(cls[i], cls[j]))
         return pa.table([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
