@@ -16,17 +16,27 @@ def components(edges: DataFrame) -> DataFrame:
     written between; nothing goes to the driver but whether links are left.
     """
     comp = None
-    edges = materialize(edges.select("a", "b").filter("a <> b").distinct())
+    edges = materialize(edges.select("a", "b").filter("a <> b").distinct(), narrow=True)
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("to")))
+        step = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("to")), narrow=True)
         if comp is None:
             comp = step.withColumnRenamed("to", "comp")
         else:
             hop = step.select(F.col("node").alias("comp"), "to")
-            comp = materialize(comp.join(hop, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
+            comp = comp.join(hop, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
         left, right = step.select(F.col("node").alias("a"), F.col("to").alias("ta")), step.select(F.col("node").alias("b"), F.col("to").alias("tb"))
         edges = edges.join(left, "a").join(right, "b").filter("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
-        edges = materialize(edges)
+        edges = materialize(edges, narrow=True)
         if edges.isEmpty():
-            return comp
+            return materialize(comp, narrow=True)
+
+
+def extended(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """``comp`` (node, comp) after more links (a, b)."""
+    x, y = (comp.select(F.col("node").alias(c), F.col("comp").alias(f"c_{c}")) for c in "ab")
+    joined = links.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    more = components(joined)
+    hop = more.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    old = comp.join(hop, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    return materialize(old.union(more.join(comp, "node", "left_anti").select("node", "comp")), narrow=True)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACED, Words, batches_of, materialize, mix64, shuffle_partitions, strings
-from .graph import components
+from .graph import components, extended
 
 _U = np.uint64
 _BATCH = 1 << 20
@@ -373,14 +373,14 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     about = materialize(in_play.join(about, "cls"))
     checked = materialize(_verify(pairs, sets, plan))
     large = materialize(large)
+    comp, refuted = components(checked.filter("linked")), checked.filter("NOT linked")
     while True:
-        comp = components(checked.filter("linked"))
-        refuted = checked.filter("NOT linked")
-        refuted = refuted.union(refuted.select("b", "a", "linked")).groupBy(F.col("a").alias("cls")).agg(F.collect_list("b").alias("no"))
-        more = materialize(_next_pairs(large, about, comp, refuted, plan))
+        no = refuted.union(refuted.select("b", "a", "linked")).groupBy(F.col("a").alias("cls")).agg(F.collect_list("b").alias("no"))
+        more = materialize(_next_pairs(large, about, comp, no, plan), narrow=True)
         if more.isEmpty():
             break
-        checked = materialize(checked.union(_verify(more, sets, plan)))
+        checked = materialize(_verify(more, sets, plan))
+        comp, refuted = extended(comp, checked.filter("linked")), refuted.union(checked.filter("NOT linked"))
     labelled = all_docs.select("id", "n", "cls").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = firsts.join(comp.withColumnRenamed("node", "cls"), "cls", "left").groupBy(F.coalesce("comp", "cls").alias("comp")).agg(F.min("id").alias("least"))
     return labelled.join(least, "comp", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("least")).alias("component_id"))
