@@ -1,15 +1,39 @@
-"""Corpus pipeline: toxicity, near duplicates, decontamination, secrets, packing."""
+"""Corpus pipeline: toxicity, near duplicates, decontamination, secrets, packing.
+
+Every stage takes what the one before kept as ``docs`` and works on all of it. Extra columns are
+left behind, documents without an id or text go through like others.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelark.llm import decontaminate, packing, secrets
+from voxelark.llm import decontaminate, jaccard, packing, secrets, toxicity
 from voxelark.llm.common import materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def toxic_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity network, fitted on labelled ones among them, doesn't reject."""
+    net = toxicity.fit(*toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score_texts(docs, net, COLUMNS).filter("score < 0.5").select(COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that with the least id.
+
+    Five-word shingles, similarity 0.8. Of repeated rows one stays; rows without an id can't be
+    told apart and stay.
+    """
+    found = jaccard.jaccard_components(docs, k=5, num=80, den=100)
+    stays = materialize(found.filter("doc_id = component_id").groupBy("doc_id").count())
+    docs = docs.select(COLUMNS)
+    once = docs.join(stays.filter("count = 1"), "doc_id", "left_semi")
+    again = docs.join(stays.filter("count > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.union(again).union(docs.filter("doc_id IS NULL"))
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark window."""
     return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), COLUMNS).filter("size(hit_runs) = 0").select(COLUMNS)
@@ -21,10 +45,14 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces packed into sequences."""
     return packing.pack(docs)
 
 
-STAGES = [("decontamination", decontamination), ("secret_scan", secret_scan), ("best_fit_packing", best_fit_packing)]
+STAGES = [
+    ("toxicity", toxic_texts), ("near_duplicates", near_duplicates), ("decontamination", decontamination),
+    ("secret_scan", secret_scan), ("best_fit_packing", best_fit_packing),
+]
 
 #: Trained models and a tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
