@@ -308,7 +308,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
 
 def _next_pairs(groups: DataFrame, about: DataFrame, comp: DataFrame, refuted: DataFrame, plan: Plan) -> DataFrame:
-    """For members of groups that span components: the pair with the nearest member of another component.
+    """For members of groups that span components: the pair (a, b, g) with the nearest member of another component.
 
     Members of a chunk's largest component ask for none; every pair across components has another
     end that does. Groups are cut into chunks of about ``_CHUNK`` members and compared chunk against chunk, so
@@ -344,9 +344,10 @@ def _next_pairs(groups: DataFrame, about: DataFrame, comp: DataFrame, refuted: D
                 j = others[far.argmin()]
                 a.append(min(cls[i], cls[j]))
                 b.append(max(cls[i], cls[j]))
-        return pa.table([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
+        g = pa.array(np.full(len(a), table.column("g")[0].as_py()), type=pa.int64())
+        return pa.table([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64()), g], names=["a", "b", "g"])
 
-    return rows.groupBy("g", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
+    return rows.groupBy("g", "lo", "hi").applyInArrow(run, "a long, b long, g long")
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -379,7 +380,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         more = materialize(_next_pairs(large, about, comp, no, plan), narrow=True)
         if more.isEmpty():
             break
-        checked = materialize(_verify(more, sets, plan))
+        large = large.join(more.select("g").distinct(), "g", "left_semi")  # the others are settled
+        checked = materialize(_verify(more.select("a", "b").distinct(), sets, plan))
         comp, refuted = extended(comp, checked.filter("linked")), refuted.union(checked.filter("NOT linked"))
     labelled = all_docs.select("id", "n", "cls").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = firsts.join(comp.withColumnRenamed("node", "cls"), "cls", "left").groupBy(F.coalesce("comp", "cls").alias("comp")).agg(F.min("id").alias("least"))
