@@ -24,6 +24,8 @@ def query(sql: str | None = None):
 
 from .plans import (  # noqa: E402,F401
     cell_queries,
+    field_queries,
+    linear_queries,
     mesh_queries,
     point_queries,
 )
