@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from voxelark.llm import decontaminate, jaccard, packing, secrets, toxicity
-from voxelark.llm.common import materialize, table
+from voxelark.llm.common import materialize, small, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -23,15 +23,16 @@ def toxic_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the least id.
 
-    Five-word shingles, similarity 0.8. Of repeated rows one stays; rows without an id can't be
-    told apart and stay.
+    Five-word shingles, similarity 0.8. Rows with one id are one document, of which one row
+    stays; rows without an id can't be told apart and stay.
     """
     found = jaccard.jaccard_components(docs, k=5, num=80, den=100)
-    stays = materialize(found.filter("doc_id = component_id").groupBy("doc_id").count())
+    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
+    again = found.groupBy("doc_id").count().filter("count > 1").select("doc_id").join(gone, "doc_id", "left_anti")
+    gone, again = materialize(gone), materialize(again)
     docs = docs.select(COLUMNS)
-    once = docs.join(stays.filter("count = 1"), "doc_id", "left_semi")
-    again = docs.join(stays.filter("count > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.union(again).union(docs.filter("doc_id IS NULL"))
+    once = docs.join(small(gone.union(again)), "doc_id", "left_anti")
+    return once.union(docs.join(small(again), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

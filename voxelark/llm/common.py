@@ -6,11 +6,13 @@ import math
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A-Z to lower case and the ASCII white space to blanks; all other bytes stay.
 SPACED = bytes(
@@ -41,17 +43,42 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, narrow: bool = False) -> DataFrame:
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that ``materialize`` writes within go at the end, but those to keep."""
+    paths: list[str] = []
+    _scratch.append(paths)
+    try:
+        yield
+    finally:
+        _scratch.pop()
+        jvm = spark.sparkContext._jvm
+        for path in paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def materialize(df: DataFrame, narrow: bool = False, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends, lost executors lose nothing.
 
     ``narrow``: the result of a shuffle, small beside the documents; an eighth as many files do.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
     (df.coalesce(max(8, shuffle_partitions(spark) // 8)) if narrow else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(ids: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """``ids`` (one number a row), marked for broadcast if they are at most ``rows``; otherwise joins shuffle."""
+    return F.broadcast(ids) if ids.count() <= rows else ids
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -113,7 +113,8 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, columns: list[str] | None =
     columns = columns or [c for c in df.columns]
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
     blocks = max(1, ceil_div(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0, block_bytes))
-    kept = df.select(F.struct(*columns).alias("row"), F.col(text_col).cast("string").alias("words_text"))
+    held = text_col in columns
+    kept = df.select(F.struct(*columns, *([] if held else [text_col])).alias("row"))
     state = None
     for k in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()
@@ -125,19 +126,19 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, columns: list[str] | None =
             for batch in batches:
                 at = batch.schema.get_field_index
                 n_words, runs, names = [], [], []
-                for text, old, held in zip(strings(batch.column(at("words_text"))), batch.column(at("hit_runs")).to_pylist(), batch.column(at("items")).to_pylist(), strict=True):
+                for text, old, held in zip(strings(batch.column(at("row")).field(text_col)), batch.column(at("hit_runs")).to_pylist(), batch.column(at("items")).to_pylist(), strict=True):
                     n, new, found = matcher.hits(text)
                     n_words.append(n)
                     runs.append([{"start": a, "end": b} for a, b in merged(new + [(x["start"], x["end"]) for x in old])])
                     names.append(sorted(found.union(held)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(at("row")), batch.column(at("words_text")), pa.array(runs, type=_RUNS), pa.array(names, type=pa.list_(pa.string())), pa.array(n_words, type=pa.int64())],
-                    ["row", "words_text", "hit_runs", "items", "n_words"],
+                    [batch.column(at("row")), pa.array(runs, type=_RUNS), pa.array(names, type=pa.list_(pa.string())), pa.array(n_words, type=pa.int64())],
+                    ["row", "hit_runs", "items", "n_words"],
                 )
 
         state = source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField("n_words", T.LongType())]))
         state = materialize(state.drop("n_words") if k + 1 < blocks else state) if blocks > 1 else state
-    return state.select("row.*", "n_words", "hit_runs", "items")
+    return state.select(*(F.col("row")[c].alias(c) for c in columns), "n_words", "hit_runs", "items")
 
 
 def digest(found: DataFrame) -> DataFrame:

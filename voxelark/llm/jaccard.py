@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, Words, batches_of, materialize, mix64, shuffle_partitions, strings
+from .common import SPACED, Words, batches_of, materialize, mix64, scratch, shuffle_partitions, small, strings
 from .graph import components, extended
 
 _U = np.uint64
@@ -302,8 +302,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([_i64(class_numbers(sizes, flat)), pa.ListArray.from_arrays(pa.array(offsets), _i64(flat))], ["cls", "shingles"])
 
-    small = ids.count() <= 2_000_000  # 8 bytes each
-    found = docs.join(F.broadcast(ids) if small else ids, "id", "left_semi").select("id", "text")
+    found = docs.join(small(ids), "id", "left_semi").select("id", "text")
     return found.mapInArrow(run, "cls long, shingles array<long>").dropDuplicates(["cls"])
 
 
@@ -358,8 +357,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shingle; null and blank texts have none and link with nothing. Repeated rows and copies are
     one class. Null ids take part in links but are never the least id, unless alone.
     """
-    plan = Plan(num, den)
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    with scratch(df.sparkSession):
+        return _components(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), id_col, k, Plan(num, den))
+
+
+def _components(docs: DataFrame, id_col: str, k: int, plan: Plan) -> DataFrame:
     all_docs = materialize(describe(docs, k))
     some = all_docs.filter("n > 0")
     firsts = some.groupBy("cls").agg(F.min("id").alias("id"))
@@ -385,4 +387,5 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         comp, refuted = extended(comp, checked.filter("linked")), refuted.union(checked.filter("NOT linked"))
     labelled = all_docs.select("id", "n", "cls").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = firsts.join(comp.withColumnRenamed("node", "cls"), "cls", "left").groupBy(F.coalesce("comp", "cls").alias("comp")).agg(F.min("id").alias("least"))
-    return labelled.join(least, "comp", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("least")).alias("component_id"))
+    out = labelled.join(least, "comp", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("least")).alias("component_id"))
+    return materialize(out, keep=True)

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ALNUM, Words, batches_of, mix64
+from .common import ALNUM, Words, batches_of, mix64, strings
 from .language_model import held_out
 from .lookup import Lookup
 from .rnn import Adam, gru_back, gru_init, gru_run, gru_step, sigmoid
@@ -251,26 +252,24 @@ def training_rows(documents: DataFrame, labels: DataFrame, most: int = 1000) ->
     return found.column(0).to_pylist(), found.column(1).to_numpy().astype(np.int64)
 
 
-def score_texts(df: DataFrame, net: Network | None, columns: list[str], text_col: str = "text", batch_bytes: int = 2 << 20) -> DataFrame:
+def score_texts(df: DataFrame, net: Network | None, columns: list[str], text_col: str = "text", batch_bytes: int = 1 << 20) -> DataFrame:
     """``columns`` of ``df`` with ``score``: 0 to 1, from 0.5 on toxic.
 
     Null, empty and wordless texts get what a window without words gets. Without a network
     all scores are 0.
     """
     sent = df.sparkSession.sparkContext.broadcast(net)
-    rows = df.select(*columns, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("scored_text"))
+    rows = df.select(*columns, *([] if text_col in columns else [text_col]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = sent.value
         lookup = Lookup(net.known) if net else None
-        for batch in batches_of(batches, "scored_text", batch_bytes):
+        for batch in batches_of(batches, text_col, batch_bytes):
             score = np.zeros(batch.num_rows)
             if net:
-                b = Batch(batch.column(batch.num_columns - 1).to_pylist())
+                b = Batch(strings(batch.column(batch.schema.get_field_index(text_col))))
                 logits = net.logits(b, lookup)
                 score = sigmoid(logits[highest(b, logits)].astype(np.float64) - net.cut)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], [*columns, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(score)], [*columns, "score"])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], StructField("score", DoubleType())]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[: len(columns)], T.StructField("score", T.DoubleType())]))
