@@ -12,8 +12,13 @@ from ..operators.cells import locate
 from ..registry import query
 from .data import AXES3, P, U, cell_sql, points, q, quant, unit_points
 
-XYZ = g.vector(*AXES3)
-N = g.vector("nx", "ny", "nz")
+
+def _xyz() -> list:
+    return g.vector(*AXES3)
+
+
+def _n() -> list:
+    return g.vector("nx", "ny", "nz")
 
 
 @query(f"""WITH {P}, e AS (SELECT (min(x) + max(x)) / 2 cx, (min(y) + max(y)) / 2 cy, (min(z) + max(z)) / 2 cz,
@@ -23,7 +28,7 @@ SELECT {cell_sql('u', '8')} i, {cell_sql('v', '8')} j, {cell_sql('w', '8')} k, c
 FROM u WHERE u BETWEEN 0 AND 1 AND v BETWEEN 0 AND 1 AND w BETWEEN 0 AND 1 GROUP BY 1, 2, 3""")
 def voxel_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
-    u = ops.unit_cube(p).apply(XYZ)
+    u = ops.unit_cube(p).apply(_xyz())
     rows = p.select("a", *(c.alias(n) for c, n in zip(u, "uvw", strict=True))).filter(g.in_unit_cube(g.vector("u", "v", "w")))
     cell = [locate(F.col(n), 8).alias(a) for n, a in zip("uvw", "ijk", strict=True)]
     return rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), quant(F.avg("a")).alias("mean_a"), quant(F.sum("a")).alias("sum_a"))
@@ -40,7 +45,7 @@ def extent_9dir(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT pid, {q('(x - (cx - s / 2)) / s', 6)} u, {q('(y - (cy - s / 2)) / s', 6)} v, {q('(z - (cz - s / 2)) / s', 6)} w FROM p, e""")
 def unit_cube_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
-    u = ops.unit_cube(p).apply(XYZ)
+    u = ops.unit_cube(p).apply(_xyz())
     rows = p.select("pid", *(c.alias(n) for c, n in zip(u, "uvw", strict=True))).filter(g.in_unit_cube(g.vector("u", "v", "w")))
     return rows.select("pid", *(quant(F.col(c), 6).alias(c) for c in "uvw"))
 
@@ -55,15 +60,15 @@ _mn = [" + ".join(f"{float(_T[r, c])!r}::DOUBLE * n{a}" for c, a in enumerate("x
 @query(f"""WITH {P}, t AS (SELECT pid, {_mx[0]} x, {_mx[1]} y, {_mx[2]} z, {_mn[0]} nx, {_mn[1]} ny, {_mn[2]} nz FROM p WHERE nx*nx + ny*ny + nz*nz > 0)
 SELECT pid, {q('x')} x, {q('y')} y, {q('z')} z, {', '.join(q(f'n{a} / sqrt(nx*nx + ny*ny + nz*nz)') + f' n{a}' for a in 'xyz')} FROM t""".replace("np.float64(", "("))
 def oriented_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = points(spark, sf_dir).filter(g.finite_normal(N))
-    t = p.select("pid", *(c.alias(a) for c, a in zip(g.apply_affine(XYZ, _M), AXES3, strict=True)), *(c.alias(f"n{a}") for c, a in zip(g.apply_normal(N, _M), AXES3, strict=True)))
-    return t.select("pid", *(quant(c).alias(a) for c, a in zip(XYZ, AXES3, strict=True)), *(quant(c / g.norm(N)).alias(f"n{a}") for c, a in zip(N, AXES3, strict=True)))
+    p = points(spark, sf_dir).filter(g.finite_normal(_n()))
+    t = p.select("pid", *(c.alias(a) for c, a in zip(g.apply_affine(_xyz(), _M), AXES3, strict=True)), *(c.alias(f"n{a}") for c, a in zip(g.apply_normal(_n(), _M), AXES3, strict=True)))
+    return t.select("pid", *(quant(c).alias(a) for c, a in zip(_xyz(), AXES3, strict=True)), *(quant(c / g.norm(_n())).alias(f"n{a}") for c, a in zip(_n(), AXES3, strict=True)))
 
 
 @query(f"WITH {P} SELECT pid, {q('nx * pow(a + 1, 2) * pow(x, 0.5)')} nx, {q('ny * pow(a + 1, 2) * pow(x, 0.5)')} ny, {q('nz * pow(a + 1, 2) * pow(x, 0.5)')} nz FROM p")
 def confidence_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = g.confidence([F.col("a") + 1, F.col("x")], [2.0, 0.5])
-    return points(spark, sf_dir).select("pid", *(quant(c * s).alias(f"n{a}") for c, a in zip(N, AXES3, strict=True)))
+    return points(spark, sf_dir).select("pid", *(quant(c * s).alias(f"n{a}") for c, a in zip(_n(), AXES3, strict=True)))
 
 
 _l = "sqrt(nx*nx + ny*ny + nz*nz)"
@@ -74,20 +79,20 @@ SELECT pid, {q('least(255.0, 255 * (greatest(a, 0) + greatest(-b, 0) + greatest(
   {q('least(255.0, 255 * (greatest(-a, 0) + greatest(b, 0) + greatest(-c, 0)))', 3)} green,
   {q('least(255.0, 255 * (greatest(-a, 0) + greatest(-b, 0) + greatest(c, 0)))', 3)} blue FROM n""")
 def normal_color(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = points(spark, sf_dir).filter(g.finite_normal(N))
-    n = p.select("pid", *((c / g.norm(N)).alias(a) for c, a in zip(N, "abc", strict=True)))
+    p = points(spark, sf_dir).filter(g.finite_normal(_n()))
+    n = p.select("pid", *((c / g.norm(_n())).alias(a) for c, a in zip(_n(), "abc", strict=True)))
     return n.select("pid", *(quant(c, 3).alias(x) for c, x in zip(g.normal_color(g.vector("a", "b", "c")), ("red", "green", "blue"), strict=True)))
 
 
 @query(f"WITH {P} SELECT pid, x, y, z FROM p WHERE x >= 10 AND x < 30 AND y >= 5000 AND y < 40000 AND z >= 0.02 AND z < 0.08")
 def bbox_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points(spark, sf_dir).filter(g.in_box(XYZ, (10, 5000, 0.02), (30, 40000, 0.08))).select("pid", *AXES3)
+    return points(spark, sf_dir).filter(g.in_box(_xyz(), (10, 5000, 0.02), (30, 40000, 0.08))).select("pid", *AXES3)
 
 
 @query(f"WITH {P} SELECT pid, x, y, z FROM p WHERE x * 1000.0 + y * -1.0 + z * 0.0 + 0.0 <= 0 AND x * 1.0 + y * 0.0 + z * 100.0 + -20.0 <= 0")
 def halfspace_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     planes = [(1000.0, -1.0, 0.0, 0.0), (1.0, 0.0, 100.0, -20.0)]
-    return points(spark, sf_dir).filter(g.in_half_spaces(XYZ, planes)).select("pid", *AXES3)
+    return points(spark, sf_dir).filter(g.in_half_spaces(_xyz(), planes)).select("pid", *AXES3)
 
 
 @query("""WITH n AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS r, count(*) OVER () AS n FROM orders)
