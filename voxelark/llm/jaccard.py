@@ -35,7 +35,7 @@ _BATCH = 1 << 20
 _BAND = 1.3
 _SLACK = 0.25
 _HASH_BITS = 50
-_CHUNK = 1024
+_CHUNK = 4096
 
 
 class Plan:
@@ -307,11 +307,13 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
 
 def _next_pairs(groups: DataFrame, about: DataFrame, comp: DataFrame, refuted: DataFrame, plan: Plan) -> DataFrame:
-    """For members of groups that span components: the pair (a, b, g) with the nearest member of another component.
+    """For groups that span components: rows (g, open, a, b).
 
-    Members of a chunk's largest component ask for none; every pair across components has another
-    end that does. Groups are cut into chunks of about ``_CHUNK`` members and compared chunk against chunk, so
-    no task holds more than two chunks of a group.
+    ``open``: members with a pair across components that is neither ruled out nor refuted; others are
+    settled for good. ``a``, ``b``: the nearest such pair of each member outside the chunk's largest
+    component; every pair across components has an end there. Groups are cut into chunks of about
+    ``_CHUNK`` members and compared chunk against chunk, so no task holds more than two chunks of
+    a group.
     """
     rows = groups.withColumn("parts", F.ceil(F.size("members") / _CHUNK).cast("int")).select("g", "parts", F.explode("members").alias("cls"))
     rows = rows.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
@@ -320,6 +322,7 @@ def _next_pairs(groups: DataFrame, about: DataFrame, comp: DataFrame, refuted: D
     rows = rows.join(about, "cls").join(refuted, "cls", "left")
     side = F.explode(F.expr("transform(sequence(0, parts - 1), o -> struct(least(c, o) as lo, greatest(c, o) as hi))"))
     rows = rows.select("g", "cls", "comp", "n", "sketch", "no", side.alias("pair")).select("g", "pair.*", "cls", "comp", "n", "sketch", "no")
+    lists = pa.list_(pa.int64())
 
     def run(table: pa.Table) -> pa.Table:
         cls, comp, n = (table.column(c).to_numpy() for c in ("cls", "comp", "n"))
@@ -327,26 +330,27 @@ def _next_pairs(groups: DataFrame, about: DataFrame, comp: DataFrame, refuted: D
         sketch = [np.frombuffer(s, dtype=np.uint64) for s in table.column("sketch").to_pylist()]
         width = min(map(len, sketch))
         m = np.stack([np.bitwise_xor.reduce(s.reshape(-1, width)) for s in sketch])
-        a, b = [], []
+        open_, a, b = np.zeros(len(cls), dtype=bool), [], []
         kinds, size = np.unique(comp, return_counts=True)
         for i in np.flatnonzero(comp != kinds[size.argmax()]):
             others = np.flatnonzero((comp != comp[i]) & (np.minimum(n, n[i]) * plan.den >= np.maximum(n, n[i]) * plan.num))
-            if not len(others):
-                continue
             far = np.bitwise_count(m[others] ^ m[i]).sum(axis=1)
             near = far <= plan.most_different(n[others], n[i])
-            others, far = others[near], far[near]
             if no[i]:
-                stay = ~np.isin(cls[others], no[i])
-                others, far = others[stay], far[stay]
+                near &= ~np.isin(cls[others], no[i])
+            others, far = others[near], far[near]
             if len(others):
                 j = others[far.argmin()]
                 a.append(min(cls[i], cls[j]))
                 b.append(max(cls[i], cls[j]))
-        g = pa.array(np.full(len(a), table.column("g")[0].as_py()), type=pa.int64())
-        return pa.table([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64()), g], names=["a", "b", "g"])
+                open_[i] = True
+                open_[others] = True
+        names = ["g", "open", "a", "b"]
+        if not a:
+            return pa.table([pa.array([], type=pa.int64()), *[pa.array([], type=lists)] * 3], names=names)
+        return pa.table([pa.array([table.column("g")[0].as_py()]), *(pa.array([x], type=lists) for x in (cls[open_], a, b))], names=names)
 
-    return rows.groupBy("g", "lo", "hi").applyInArrow(run, "a long, b long, g long")
+    return rows.groupBy("g", "lo", "hi").applyInArrow(run, "g long, open array<long>, a array<long>, b array<long>")
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -382,8 +386,9 @@ def _components(docs: DataFrame, id_col: str, k: int, plan: Plan) -> DataFrame:
         more = materialize(_next_pairs(large, about, comp, no, plan), narrow=True)
         if more.isEmpty():
             break
-        large = large.join(more.select("g").distinct(), "g", "left_semi")  # the others are settled
-        checked = materialize(_verify(more.select("a", "b").distinct(), sets, plan))
+        large = more.groupBy("g").agg(F.array_distinct(F.flatten(F.collect_list("open"))).alias("members"))
+        pairs = more.select(F.explode(F.arrays_zip("a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        checked = materialize(_verify(pairs, sets, plan))
         comp, refuted = extended(comp, checked.filter("linked")), refuted.union(checked.filter("NOT linked"))
     labelled = all_docs.select("id", "n", "cls").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = firsts.join(comp.withColumnRenamed("node", "cls"), "cls", "left").groupBy(F.coalesce("comp", "cls").alias("comp")).agg(F.min("id").alias("least"))
