@@ -1,0 +1,48 @@
+import hashlib
+import random
+import re
+
+from voxelark.llm import secrets
+
+from .conftest import brute
+
+ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def base_spans(text):
+    found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    found += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(found, key=lambda x: (x[1], secrets.KINDS.index(x[0])))
+
+
+def test_base_spans_are_those_of_the_patterns():
+    rng = random.Random(1)
+    bits = ["password", "PASSWD", "secret", "Token", "api_key", "apikey", "K", "ſecret", "=", ":", " ", "  ", '"', "'", "abcdefgh", "12", "/x", "AKIA", "ABCDEF0123456789", "0123456789abcdef" * 2, "é", "\n", "==", "日"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(12)))
+        assert [s[:3] for s in secrets.lex(text) if s[0] != "lexed"] == base_spans(text), text
+
+
+def test_names_literals_and_constants():
+    found = [s[:3] for s in secrets.lex("""k = "zK93mQ81xVw2"\ndb_pwd = k\ngreeting = "hello there"\n""") if s[0] == "lexed"]
+    assert found == [("lexed", 5, 17)]
+    joined = secrets.lex("""private_key := "Zx81kQ" + "pL02vTnB7"\n""")
+    assert [s[0] for s in joined] == ["lexed", "lexed"]
+    assert secrets.lex('title: "aB3dE5gH7jK9"') == []
+
+
+def test_query_rows(spark, messy, nothing):
+    df = messy.union(spark.createDataFrame([(200, 'password = "hunter2hunter2" token: abcdefgh', "", "", 0, 1, "", [1])], messy.schema))
+    got = sorted((r["doc_id"] or -1, r["n_assign"], r["base_sha256"]) for r in secrets.digest(secrets.scan_secrets(df)).collect())
+    want = []
+    for i, t in brute(df):
+        s = base_spans(t)
+        want.append((i or -1, sum(x[0] == "assign" for x in s), hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in s).encode()).hexdigest()))
+    assert got == sorted(want)
+    assert secrets.scan_secrets(nothing).count() == 0
+
+
+def test_redaction(spark):
+    df = spark.createDataFrame([(1, "x password=abcdefgh1 y"), (2, None), (3, "clean")], "doc_id long, text string")
+    assert [r["text"] for r in secrets.redact(df).orderBy("doc_id").collect()] == ["x [SECRET] y", None, "clean"]
