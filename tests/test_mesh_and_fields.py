@@ -106,3 +106,30 @@ def test_save_and_load(spark, tmp_path):
     at = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 0.95, 0.0, 0.0)], "p int, x double, y double, z double")
     assert im.evaluate(at, "p").orderBy("p").collect() == back.evaluate(at, "p").orderBy("p").collect()
     assert back.aux_at(at, "p").count() == 2
+
+
+def test_designators_of_a_box(spark):
+    from voxelark.operators import envelope
+
+    v, f = box(spark)
+    t = mesh.triangulate(v, f)
+    s = apps.area_samples(v, t, 0.02).select(*((F.col(a) * 0.5 + 0.25).alias(u) for a, u in zip("xyz", "uvw", strict=True)))
+    cells = envelope.designators(envelope.touched_cells(s, 4), 4)
+    n = {r["geometry"]: r["count"] for r in cells.filter("d = 4").groupBy("geometry").count().collect()}
+    assert n["interior"] >= 6**3 and n["exterior"] >= 16**3 - 10**3 and sum(n.values()) == 16**3
+    assert cells.filter("d = 0").first()["geometry"] == "boundary"
+    locked = envelope.locked_corners(envelope.eroded(cells, envelope.touched_cells(s, 4)), 4)
+    assert 0 < locked.count() < 17**3
+
+
+def test_simplex_cells_hold_all_points_of_a_triangle(spark):
+    from voxelark.operators import envelope
+    from voxelark.operators.cells import with_cell
+
+    t = spark.createDataFrame([(0, 0.1, 0.2, 0.3, 0.9, 0.3, 0.2, 0.4, 0.8, 0.7)], "fid long, " + ", ".join(f"{c}{n} double" for n in range(3) for c in "uvw"))
+    got = envelope.simplex_cells(t, 4).drop("fid")
+    r = np.random.default_rng(0).dirichlet((1, 1, 1), 3000)
+    p = r @ np.array([[0.1, 0.2, 0.3], [0.9, 0.3, 0.2], [0.4, 0.8, 0.7]])
+    inside = with_cell(spark.createDataFrame(pd.DataFrame(p, columns=list("uvw"))), 4).select("d", "i", "j", "k").distinct()
+    assert inside.join(got, ["d", "i", "j", "k"], "left_anti").count() == 0
+    assert got.count() < 3 * inside.count()

@@ -202,6 +202,20 @@ def spline_weights(df: DataFrame, degree: int, unit: Sequence[str] = ("u", "v",
 
 
 def splat(df: DataFrame, values: dict[str, Column], degree: int, unit: Sequence[str] = ("u", "v", "w"), axes: Sequence[str] = AXES) -> DataFrame:
-    """Scatter-add of values times basis; rows have d, axes and unit coordinates."""
-    rows = spline_weights(df, degree, unit, axes)
-    return rows.groupBy("d", *axes).agg(*(F.sum(F.col("basis") * v).alias(n) for n, v in values.items()))
+    """Scatter-add of values times basis; rows have d, axes and unit coordinates.
+
+    A cell's points all reach the same bases, so their products are summed per cell and basis
+    first, without multiplying rows; only cells are then spread over their bases.
+    """
+    first = {0: 0, 1: 0, 2: -1}[degree]
+    size = F.pow(F.lit(2.0), F.col("d"))
+    rows = df.select("d", *axes, *(v.cast("double").alias(f"_v{n}") for n, v in enumerate(values.values())),
+        *(c.cast("double").alias(f"_{a}{m}") for a, u in zip(axes, unit, strict=True) for m, c in enumerate(component_values(F.col(u) * size - F.col(a), degree))))
+    places = list(product(range(degree + 1), repeat=len(axes)))
+    basis = [reduce(mul, (F.col(f"_{a}{m}") for a, m in zip(axes, o, strict=True))) for o in places]
+    sums = rows.groupBy("d", *axes).agg(*(F.sum(b * F.col(f"_v{n}")).alias(f"_s{n}_{m}") for n in range(len(values)) for m, b in enumerate(basis)))
+    spread = F.array(*(F.struct(*(F.lit(first + m).alias(a) for a, m in zip(axes, o, strict=True)), *(F.col(f"_s{n}_{k}").alias(v) for n, v in enumerate(values))) for k, o in enumerate(places)))
+    out = sums.select("d", *axes, F.explode(spread).alias("_o")).select("d", *((F.col(a) + F.col(f"_o.{a}")).alias(a) for a in axes), *(F.col(f"_o.{v}").alias(v) for v in values))
+    last = F.expr("shiftleft(1, d)") if degree == 1 else F.expr("shiftleft(1, d) - 1")
+    inside = reduce(lambda p, q: p & q, (F.col(a).between(0, last) for a in axes))
+    return out.filter(inside).groupBy("d", *axes).agg(*(F.sum(v).alias(v) for v in values))
