@@ -68,7 +68,9 @@ def test_blocks_differ_at_most_as_sets_do():
     assert j.hamming(x, j.bit_sketches(np.array([40]), a[:40])[0]) <= 260
 
 
-def test_components(spark):
-    e = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (101, 102), (7, 7)], "a long, b long")
-    got = {r["node"]: r["comp"] for r in components(e).collect()}
-    assert len({got[k] for k in range(41)}) == 1 and got[100] == got[102] != got[0]
+@pytest.mark.parametrize("one_task", [1000, 0])
+def test_components(spark, one_task):
+    e = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(102, 101), (101, 100), (7, 7)], "a long, b long")
+    got = {r["node"]: r["comp"] for r in components(e, one_task).collect()}
+    assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100, 102: 100}
+    assert components(e.filter("false"), one_task).count() == 0

@@ -306,11 +306,11 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return found.mapInArrow(run, "cls long, shingles array<long>").dropDuplicates(["cls"])
 
 
-def _next_pairs(groups: DataFrame, about: DataFrame, comp: DataFrame, refuted: DataFrame, plan: Plan) -> DataFrame:
+def _next_pairs(groups: DataFrame, about: DataFrame, comp: DataFrame, refuted: DataFrame, plan: Plan, nearest: int) -> DataFrame:
     """For groups that span components: rows (g, open, a, b).
 
     ``open``: members with a pair across components that is neither ruled out nor refuted; others are
-    settled for good. ``a``, ``b``: the nearest such pair of each member outside the chunk's largest
+    settled for good. ``a``, ``b``: the ``nearest`` such pairs of each member outside the chunk's largest
     component; every pair across components has an end there. Groups are cut into chunks of about
     ``_CHUNK`` members and compared chunk against chunk, so no task holds more than two chunks of
     a group.
@@ -340,9 +340,9 @@ def _next_pairs(groups: DataFrame, about: DataFrame, comp: DataFrame, refuted: D
                 near &= ~np.isin(cls[others], no[i])
             others, far = others[near], far[near]
             if len(others):
-                j = others[far.argmin()]
-                a.append(min(cls[i], cls[j]))
-                b.append(max(cls[i], cls[j]))
+                for j in others[np.argsort(far, kind="stable")[:nearest]]:
+                    a.append(min(cls[i], cls[j]))
+                    b.append(max(cls[i], cls[j]))
                 open_[i] = True
                 open_[others] = True
         names = ["g", "open", "a", "b"]
@@ -381,11 +381,13 @@ def _components(docs: DataFrame, id_col: str, k: int, plan: Plan) -> DataFrame:
     checked = materialize(_verify(pairs, sets, plan))
     large = materialize(large)
     comp, refuted = components(checked.filter("linked")), checked.filter("NOT linked")
+    nearest = 1  # most links join components at once; what is left then are pairs just under the threshold
     while True:
         no = refuted.union(refuted.select("b", "a", "linked")).groupBy(F.col("a").alias("cls")).agg(F.collect_list("b").alias("no"))
-        more = materialize(_next_pairs(large, about, comp, no, plan), narrow=True)
+        more = materialize(_next_pairs(large, about, comp, no, plan, nearest), narrow=True)
         if more.isEmpty():
             break
+        nearest *= 8
         large = more.groupBy("g").agg(F.array_distinct(F.flatten(F.collect_list("open"))).alias("members"))
         pairs = more.select(F.explode(F.arrays_zip("a", "b")).alias("p")).select("p.a", "p.b").distinct()
         checked = materialize(_verify(pairs, sets, plan))
