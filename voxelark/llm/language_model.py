@@ -6,8 +6,9 @@ rare words are joined with, so nothing sent around grows with the vocabulary.
 
 The recurrent model knows the most frequent ``model_words`` words, the end and one mark for all
 rarer words. Its output softmax is factored: first a class, then a word of that class. It is trained by
-backpropagation truncated to windows, the state carried from one window to the next, on a
-bounded sample of training documents; output biases start from the counts of the whole corpus.
+backpropagation truncated to windows, the state carried from one window to the next: first on the
+driver on a bounded sample, then by every task on a fixed share of its own training documents, and
+the tasks' changes are averaged by their tokens. Output biases start from the counts of the whole corpus.
 A rare word's probability is the mark's times its share in the counts of rare words. Documents
 are scored whole, window after window with the state carried on.
 """
@@ -190,12 +191,54 @@ class Model:
         return out
 
 
-def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, rest: int = 2, model_words: int = 4096, train_bytes: int = 3 << 20, head: int = HEAD) -> DataFrame:
+_PIECES = 16
+
+
+def averaged(model: Model, train: DataFrame, known: np.ndarray, rate: float = 1e-3) -> Model:
+    """``model`` moved by the mean change of its copies that each task trains on its rows of ``train`` (text).
+
+    Changes are summed in pieces by a shuffle, so what meets in a task is one piece from each; the
+    driver gets one sum of each piece.
+    """
+    spark = train.sparkSession
+    sent = spark.sparkContext.broadcast((model, known))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, known = sent.value
+        vocabulary, docs = Lookup(known), []
+        for batch in batches_of(batches, "text", 2 << 20):
+            tokens, per_text = token_numbers(batch.column(0).to_pylist())
+            ids = vocabulary.find(tokens)
+            docs.append(np.where(ids < 0, model.words, ids))
+        n = sum(map(len, docs))
+        if n < 2 * model.WINDOW:
+            return
+        before = {k: v.copy() for k, v in model.w.items()}
+        model.w = {k: v.copy() for k, v in before.items()}
+        model.train(docs, epochs=1, rate=rate)
+        for k, v in model.w.items():
+            for piece, x in enumerate(np.array_split((v - before[k]).ravel().astype(np.float64) * n, _PIECES)):
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([piece]), pa.array([n]), pa.array([x.tolist()], type=pa.list_(pa.float64()))], ["name", "piece", "n", "change"])
+
+    def total(table: pa.Table) -> pa.Table:
+        x = np.sum([np.asarray(c.values) for c in table.column("change")], axis=0)
+        return pa.table({"name": [table.column("name")[0].as_py()], "piece": [table.column("piece")[0].as_py()], "n": [sum(table.column("n").to_pylist())], "change": pa.array([x.tolist()], type=pa.list_(pa.float64()))})
+
+    kinds = "name string, piece long, n long, change array<double>"
+    sums = train.select("text").mapInArrow(run, kinds).groupBy("name", "piece").applyInArrow(total, kinds).collect()
+    for k, v in model.w.items():
+        parts = [(r["piece"], np.array(r["change"]) / r["n"]) for r in sums if r["name"] == k]
+        if parts:
+            v += np.concatenate([x for _, x in sorted(parts, key=lambda y: y[0])]).reshape(v.shape).astype(np.float32)
+    return model
+
+
+def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, rest: int = 2, model_words: int = 4096, train_bytes: int = 3 << 20, share: int = 8, head: int = HEAD) -> DataFrame:
     """Rows (id_col, held_out, n_tokens, n_known, train_tokens, base_score, score), one per row of ``df``.
 
     Training documents are those whose id's crc32 doesn't leave ``rest``; counts cover all of them,
     the recurrent weights are fitted on a sample of about ``train_bytes`` of text at most, of
-    documents no longer than that. Scores are log10.
+    documents no longer than that, and then by all tasks on one of ``share`` training documents. Scores are log10.
     Null and empty texts are the end token alone. Null ids are training documents; repeated
     rows count and are scored each. Without training documents every token is unknown.
     """
@@ -217,9 +260,8 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     vocabulary = Lookup(known)
 
     size = train.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    share = min(1.0, train_bytes / max(size, 1))
     steps = 1 << 20
-    picked = F.pmod(F.xxhash64("id"), F.lit(steps)) < int(share * steps) + 1
+    picked = F.pmod(F.xxhash64("id"), F.lit(steps)) < int(min(1.0, train_bytes / max(size, 1)) * steps) + 1
     sample = train.filter(picked & (F.octet_length("text") <= train_bytes)).select("id", "text")
     sample = sample.orderBy("id", "text").select("text").toArrow().column(0).to_pylist()
     docs_ids = []
@@ -227,6 +269,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         ids = vocabulary.find(token_numbers([text])[0])
         docs_ids.append(np.where(ids < 0, model.words, ids))
     model.train(docs_ids)
+    model = averaged(model, train.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(share)) == 0), known)
 
     sent = spark.sparkContext.broadcast((model, known, h, c))
 
