@@ -276,8 +276,11 @@ def _refute(pairs: DataFrame, about: DataFrame, plan: Plan) -> DataFrame:
     return near.mapInArrow(run, "a long, b long")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
-    """Rows (a, b, linked) by comparing whole sets."""
+def _verify(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, k: int, plan: Plan) -> DataFrame:
+    """Rows (a, b, linked) by comparing whole sets, made anew from the texts of the classes at hand."""
+    ends = pairs.selectExpr("a as cls").union(pairs.selectExpr("b")).distinct()
+    sets = materialize(_sets(docs, materialize(ends.join(firsts, "cls").select("id").distinct(), narrow=True), k))
+    sets = sets.join(small(materialize(ends, narrow=True)), "cls", "left_semi")
     x, y = (sets.select(F.col("cls").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,20 +293,23 @@ def _verify(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
                 linked.append(plan.den * both >= plan.num * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([a, b, pa.array(linked, type=pa.bool_())], ["a", "b", "linked"])
 
-    return pairs.join(x, "a").join(y, "b").mapInArrow(run, "a long, b long, linked boolean")
+    return pairs.join(x, "a").join(y, "b").mapInArrow(run, "a long, b long, linked boolean").distinct()
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """Rows (cls, shingles) of the documents whose id is in ``ids``."""
+    """Rows (cls, shingles) of the documents whose id is in ``ids`` or null, each class once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in batches_of(batches, "text", _BATCH):
             sizes, flat = shingle_sets(strings(batch.column(1)), k)
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([_i64(class_numbers(sizes, flat)), pa.ListArray.from_arrays(pa.array(offsets), _i64(flat))], ["cls", "shingles"])
+            cls = class_numbers(sizes, flat).view(np.int64)
+            parts = np.split(flat.view(np.int64), np.cumsum(sizes)[:-1])
+            fresh = [n for n, c in enumerate(cls.tolist()) if c not in done and not done.add(c)]
+            yield pa.RecordBatch.from_arrays([pa.array(cls[fresh]), pa.array([parts[n] for n in fresh], type=pa.list_(pa.int64()))], ["cls", "shingles"])
 
-    found = docs.join(small(ids), "id", "left_semi").select("id", "text")
-    return found.mapInArrow(run, "cls long, shingles array<long>").dropDuplicates(["cls"])
+    found = docs.join(small(ids), "id", "left_semi").union(docs.filter("id IS NULL")).select("id", "text")
+    return found.mapInArrow(run, "cls long, shingles array<long>")
 
 
 def _next_pairs(groups: DataFrame, about: DataFrame, comp: DataFrame, refuted: DataFrame, plan: Plan, nearest: int) -> DataFrame:
@@ -368,17 +374,15 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def _components(docs: DataFrame, id_col: str, k: int, plan: Plan) -> DataFrame:
     all_docs = materialize(describe(docs, k))
     some = all_docs.filter("n > 0")
-    firsts = some.groupBy("cls").agg(F.min("id").alias("id"))
+    firsts = materialize(some.groupBy("cls").agg(F.min("id").alias("id")))
     about = some.dropDuplicates(["cls"]).select("cls", "n", "sketch")
     groups = materialize(_matching_blocks(docs, k, plan))
     stars = groups.select(F.col("members")[0].alias("a"), F.explode(F.expr("slice(members, 2, size(members))")).alias("b")).distinct()
     pairs = materialize(_refute(stars, about, plan))
     large = groups.filter("size(members) > 2").distinct().withColumn("g", F.xxhash64("members"))
     in_play = pairs.selectExpr("a as cls").union(pairs.selectExpr("b")).union(large.select(F.explode("members"))).distinct()
-    wanted = materialize(in_play.join(firsts, "cls").select("id").distinct())
-    sets = materialize(_sets(docs, wanted, k))
     about = materialize(in_play.join(about, "cls"))
-    checked = materialize(_verify(pairs, sets, plan))
+    checked = materialize(_verify(pairs, docs, firsts, k, plan), narrow=True)
     large = materialize(large)
     comp, refuted = components(checked.filter("linked")), checked.filter("NOT linked")
     nearest = 1  # most links join components at once; what is left then are pairs just under the threshold
@@ -390,7 +394,7 @@ def _components(docs: DataFrame, id_col: str, k: int, plan: Plan) -> DataFrame:
         nearest *= 8
         large = more.groupBy("g").agg(F.array_distinct(F.flatten(F.collect_list("open"))).alias("members"))
         pairs = more.select(F.explode(F.arrays_zip("a", "b")).alias("p")).select("p.a", "p.b").distinct()
-        checked = materialize(_verify(pairs, sets, plan))
+        checked = materialize(_verify(pairs, docs, firsts, k, plan), narrow=True)
         comp, refuted = extended(comp, checked.filter("linked")), refuted.union(checked.filter("NOT linked"))
     labelled = all_docs.select("id", "n", "cls").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = firsts.join(comp.withColumnRenamed("node", "cls"), "cls", "left").groupBy(F.coalesce("comp", "cls").alias("comp")).agg(F.min("id").alias("least"))
