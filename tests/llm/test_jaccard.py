@@ -74,3 +74,12 @@ def test_components(spark, one_task):
     got = {r["node"]: r["comp"] for r in components(e, one_task).collect()}
     assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100, 102: 100}
     assert components(e.filter("false"), one_task).count() == 0
+
+
+def test_documents_without_an_id_link_others(spark):
+    rng = random.Random(9)
+    w = [f"q{rng.randrange(10**6)}" for _ in range(100)]
+    a, b, c = " ".join(w), " ".join(w[:-9]), " ".join(w[:-18])
+    df = spark.createDataFrame([(5, a), (None, b), (3, c), (None, "zz " * 9)], "doc_id long, text string")
+    got = sorted(tuple(-1 if x is None else x for x in (r[0], r[2])) for r in j.jaccard_components(df, k=1, num=85).collect())
+    assert got == [(-1, -1), (-1, 3), (3, 3), (5, 3)]

@@ -382,19 +382,19 @@ def _components(docs: DataFrame, id_col: str, k: int, plan: Plan) -> DataFrame:
     large = groups.filter("size(members) > 2").distinct().withColumn("g", F.xxhash64("members"))
     in_play = pairs.selectExpr("a as cls").union(pairs.selectExpr("b")).union(large.select(F.explode("members"))).distinct()
     about = materialize(in_play.join(about, "cls"))
-    checked = materialize(_verify(pairs, docs, firsts, k, plan), narrow=True)
+    checked = materialize(_verify(pairs, docs, firsts, k, plan))
     large = materialize(large)
     comp, refuted = components(checked.filter("linked")), checked.filter("NOT linked")
     nearest = 1  # most links join components at once; what is left then are pairs just under the threshold
     while True:
         no = refuted.union(refuted.select("b", "a", "linked")).groupBy(F.col("a").alias("cls")).agg(F.collect_list("b").alias("no"))
-        more = materialize(_next_pairs(large, about, comp, no, plan, nearest), narrow=True)
+        more = materialize(_next_pairs(large, about, comp, no, plan, nearest))
         if more.isEmpty():
             break
         nearest *= 8
         large = more.groupBy("g").agg(F.array_distinct(F.flatten(F.collect_list("open"))).alias("members"))
         pairs = more.select(F.explode(F.arrays_zip("a", "b")).alias("p")).select("p.a", "p.b").distinct()
-        checked = materialize(_verify(pairs, docs, firsts, k, plan), narrow=True)
+        checked = materialize(_verify(pairs, docs, firsts, k, plan))
         comp, refuted = extended(comp, checked.filter("linked")), refuted.union(checked.filter("NOT linked"))
     labelled = all_docs.select("id", "n", "cls").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = firsts.join(comp.withColumnRenamed("node", "cls"), "cls", "left").groupBy(F.coalesce("comp", "cls").alias("comp")).agg(F.min("id").alias("least"))
