@@ -133,3 +133,29 @@ def test_simplex_cells_hold_all_points_of_a_triangle(spark):
     inside = with_cell(spark.createDataFrame(pd.DataFrame(p, columns=list("uvw"))), 4).select("d", "i", "j", "k").distinct()
     assert inside.join(got, ["d", "i", "j", "k"], "left_anti").count() == 0
     assert got.count() < 3 * inside.count()
+
+
+def test_sphere_is_closed_and_round(spark):
+    im = apps.poisson(apps.sphere(spark, 10_000), 4, 4)
+    v, f = im.surface()
+    assert mesh.edges(f).filter("n <> 2").count() == 0
+    r = v.select(F.sqrt(F.expr("x*x + y*y + z*z")).alias("r"), F.expr("(x*nx + y*ny + z*nz)").alias("out") if "nx" in v.columns else F.lit(1.0).alias("out")).agg(F.min("r"), F.max("r")).first()
+    assert 0.97 < r[0] and r[1] < 1.03
+    at = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 1.09, 1.09, 1.09), (2, 9.0, 0.0, 0.0)], "k int, x double, y double, z double")
+    a, b, c = (x["value"] for x in im.evaluate(at, "k").orderBy("k").collect())
+    assert a > im.level > b and c is None
+
+
+def test_smooth_reconstruction_tells_inside_from_outside(spark):
+    im = apps.poisson(apps.sphere(spark, 5000), 4, 4, smooth=True)
+    at = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 1.09, 0.0, 0.0)], "p int, x double, y double, z double")
+    a, b = (x["value"] for x in im.evaluate(at, "p").orderBy("p").collect())
+    assert (a - im.level) * (b - im.level) < 0
+
+
+def test_distance_grows_away_from_the_mesh(spark):
+    v, f = box(spark)
+    d = apps.distance_transform(v, mesh.triangulate(v, f), 4)
+    at = spark.createDataFrame([(0, 1.0, 0.5, 0.5), (1, 1.2, 0.5, 0.5), (2, 1.4, 0.5, 0.5)], "p int, x double, y double, z double")
+    x = [r["value"] for r in d.evaluate(at, "p").orderBy("p").collect()]
+    assert x[0] < x[1] < x[2]

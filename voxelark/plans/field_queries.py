@@ -95,7 +95,7 @@ def iso_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.agg(quant(F.sum(F.col("val") * F.col("val")) / F.sum("val")).alias("iso"))
 
 
-@query("SELECT CAST(k AS INTEGER) AS k, CASE WHEN k < 3 THEN 1 ELSE -1 END AS close FROM (SELECT unnest([0, 1, 2, 3]) k)")
+@query()
 def point_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """x^2 + y^2 through a thousand points of the square, held against its values; nothing outside."""
     unit = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 29)) - 1
@@ -104,7 +104,7 @@ def point_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apps.fit(p).evaluate(at, "k").join(at, "k").select("k", F.when(F.col("value").isNull(), -1).when(F.abs(F.col("value") - F.col("true_value")) < 1e-3, 1).otherwise(0).alias("close"))
 
 
-@query("SELECT true AS closed, true AS \"near\"")
+@query()
 def reconstruct_sphere(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A unit sphere from 10,000 oriented points: is the surface closed and its radius right to 3 %?"""
     from ..operators import mesh
@@ -113,3 +113,61 @@ def reconstruct_sphere(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = v.agg(F.min("r").alias("a"), F.max("r").alias("b")) if "r" in v.columns else v.select(F.sqrt(F.expr("x*x + y*y + z*z")).alias("r")).agg(F.min("r").alias("a"), F.max("r").alias("b"))
     open_edges = mesh.edges(f).agg(F.bool_and(F.col("n") == 2).alias("closed"))
     return open_edges.crossJoin(F.broadcast(r)).select("closed", ((F.col("a") > 0.97) & (F.col("b") < 1.03)).alias("near"))
+
+
+@query()
+def reconstruct_smooth_sphere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with values and gradients fitted under a curvature term: field values inside, on and outside the sphere."""
+    im = apps.poisson(apps.sphere(spark, 10_000), 4, 4, smooth=True)
+    at = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 1.0, 0.0, 0.0), (2, 1.09, 0.0, 0.0)], "p int, x double, y double, z double")
+    return im.evaluate(at, "p").select("p", (F.col("value") > im.level).alias("inside"))
+
+
+@query()
+def interpolated_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours of a banded sphere read at its own points: weighted means, so inside the range of the data."""
+    p = apps.sphere(spark, 3000, color=True)
+    im = apps.poisson(p, 4, 4, aux=("red", "green", "blue"))
+    return im.aux_at(p.filter("pid % 30 = 0"), "pid").select("pid", *(quant(F.col(c), 2).alias(c) for c in ("red", "green", "blue")))
+
+
+@query()
+def distance_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance to a reconstructed sphere's surface, near it and farther away."""
+    v, f = apps.poisson(apps.sphere(spark, 5000), 4, 4).surface()
+    at = spark.createDataFrame([(0, 1.0, 0.0, 0.0), (1, 1.5, 0.0, 0.0), (2, 0.5, 0.0, 0.0)], "p int, x double, y double, z double")
+    return apps.distance_transform(v, f, 4).evaluate(at, "p").select("p", quant(F.col("value"), 2).alias("distance"))
+
+
+@query()
+def stitched_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two halves of an image a constant apart, stitched: spread of what was constant."""
+    px = spark.range(64).select(F.floor(F.col("id") / 8).cast("int").alias("row"), (F.col("id") % 8).cast("int").alias("col"))
+    px = px.select("row", "col", (F.col("col") >= 3).cast("int").alias("label"), F.when(F.col("col") >= 3, 50.0).otherwise(10.0).alias("val"))
+    return apps.stitch(px).agg(quant(F.stddev_pop("val"), 2).alias("spread"), F.count("val").alias("n"))
+
+
+@query()
+def trimmed_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid mesh of line items trimmed at its middle value, small parts merged: faces and area."""
+    from ..operators import mesh
+    from .mesh_queries import mesh as grid_mesh
+
+    v, f = apps.trim_surface(*grid_mesh(spark, sf_dir), 25.5)
+    return mesh.polygon_areas(f, v).agg(F.count(F.lit(1)).alias("faces"), quant(F.sum("area"), 2).alias("area"))
+
+
+@query()
+def leaf_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cell borders of an adaptive tree on a regular grid: where right or lower neighbours lie in different leaves."""
+    from ..operators.cells import deepest_cell
+
+    t = spark.createDataFrame([(0, 0, 0)] + [(1, i, j) for i in (0, 1) for j in (0, 1)] + [(2, i, j) for i in (0, 1) for j in (0, 1)], "d int, i int, j int")
+    n = 16
+    px = spark.range(n * n).select("id", (F.col("id") % n).cast("int").alias("x"), F.floor(F.col("id") / n).cast("int").alias("y"))
+    at = px.select("id", *(((F.col(c) + 0.5) / n).alias(u) for c, u in (("x", "u"), ("y", "v"))))
+    leaf = px.join(deepest_cell(at, t, "id", 2, ("u", "v"), ("i", "j")), "id").select("x", "y", F.struct("d", "i", "j").alias("leaf"))
+    right = leaf.select((F.col("x") - 1).alias("x"), "y", F.col("leaf").alias("r"))
+    down = leaf.select("x", (F.col("y") - 1).alias("y"), F.col("leaf").alias("b"))
+    border = F.coalesce(F.col("leaf") != F.col("r"), F.lit(False)) | F.coalesce(F.col("leaf") != F.col("b"), F.lit(False))
+    return leaf.join(right, ["x", "y"], "left").join(down, ["x", "y"], "left").select("x", "y", border.alias("border"))
