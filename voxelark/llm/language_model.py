@@ -215,7 +215,7 @@ def averaged(model: Model, train: DataFrame, known: np.ndarray, rate: float = 1e
             return
         before = {k: v.copy() for k, v in model.w.items()}
         model.w = {k: v.copy() for k, v in before.items()}
-        model.train(docs, epochs=1, rate=rate)
+        model.train(docs, epochs=1, streams=128, rate=rate)
         for k, v in model.w.items():
             for piece, x in enumerate(np.array_split((v - before[k]).ravel().astype(np.float64) * n, _PIECES)):
                 yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([piece]), pa.array([n]), pa.array([x.tolist()], type=pa.list_(pa.float64()))], ["name", "piece", "n", "change"])
@@ -233,7 +233,7 @@ def averaged(model: Model, train: DataFrame, known: np.ndarray, rate: float = 1e
     return model
 
 
-def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, rest: int = 2, model_words: int = 4096, train_bytes: int = 3 << 20, share: int = 8, head: int = HEAD) -> DataFrame:
+def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, rest: int = 2, model_words: int = 4096, train_bytes: int = 3 << 20, share: int = 16, head: int = HEAD) -> DataFrame:
     """Rows (id_col, held_out, n_tokens, n_known, train_tokens, base_score, score), one per row of ``df``.
 
     Training documents are those whose id's crc32 doesn't leave ``rest``; counts cover all of them,
