@@ -34,3 +34,17 @@ def test_recall():
         d[j] = np.inf
         hit += len(set(near) & set(np.argsort(d)[:10]))
     assert hit / 400 >= 0.9
+
+
+def test_recall_in_a_partition_of_many_rows(spark):
+    x = np.random.default_rng(2).standard_normal((12_000, 64))
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").coalesce(1)
+    got = {}
+    for r in n.nearest(df, df.filter("vec_id < 40")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = 0
+    for j in range(40):
+        d = ((x - x[j]) ** 2).sum(axis=1)
+        d[j] = np.inf
+        hit += len(got[j] & set(np.argsort(d)[:10].tolist()))
+    assert hit / 400 >= 0.9

@@ -128,13 +128,18 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_co
         def run(batches: Iterator[pa.RecordBatch], sent=sent, b=b) -> Iterator[pa.RecordBatch]:
             held: dict[int, list] = {}
 
-            def answer(n: int) -> Iterator[pa.RecordBatch]:
+            def answer(n: int, least: int) -> Iterator[pa.RecordBatch]:
+                """Searches what is held in blocks of ``block_rows``; a rest of under ``least`` rows stays held."""
                 parts = held.pop(n)
                 q_ids, q = sent.value[n]
                 ids, x = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                for j, near, dist in search_block(ids, x, q_ids, q, k, trees, candidates):
-                    m = len(near)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, q_ids[j])), pa.array(np.full(m, (b << 48) | (n << 24) | j)), pa.array(near), pa.array(dist)], ["query_id", "query", "vec_id", "score"])
+                while len(ids) >= least:
+                    for j, near, dist in search_block(ids[:block_rows], x[:block_rows], q_ids, q, k, trees, candidates):
+                        m = len(near)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, q_ids[j])), pa.array(np.full(m, (b << 48) | (n << 24) | j)), pa.array(near), pa.array(dist)], ["query_id", "query", "vec_id", "score"])
+                    ids, x = ids[block_rows:], x[block_rows:]
+                if len(ids):
+                    held[n] = [(ids, x)]
 
             for batch in batches:
                 ids, column = batch.column(0).to_numpy(), batch.column(1)
@@ -144,9 +149,9 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_co
                         use = lengths == n
                         held.setdefault(int(n), []).append((ids[use], flat[np.repeat(use, lengths)].reshape(-1, n)))
                         if sum(len(p[0]) for p in held[int(n)]) >= block_rows:
-                            yield from answer(int(n))
+                            yield from answer(int(n), block_rows)
             for n in list(held):
-                yield from answer(n)
+                yield from answer(n, 1)
 
         results.append(rows.mapInArrow(run, "query_id long, query long, vec_id long, score double"))
     order = Window.partitionBy("query").orderBy("score", "vec_id")
