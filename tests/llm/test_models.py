@@ -107,3 +107,23 @@ def test_training_rows(spark):
     ids = [k for k in range(150) if zlib.crc32(str(k).encode()) % 5]
     assert t == [f"text {k}" for k in ids] and list(y) == [k % 2 for k in ids]
     assert toxicity.fit(*toxicity.training_rows(docs, labels.filter("false"))) is None
+
+
+def test_every_training_document_is_learnt_from(messy, monkeypatch):
+    seen, averaged = [], lm.averaged
+    monkeypatch.setattr(lm, "averaged", lambda model, train, *rest: seen.append(sorted(r["text"] for r in train.collect())) or averaged(model, train, *rest))
+    lm.score_documents(messy).count()
+    assert seen == [sorted(t for i, t in brute(messy) if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2)]
+
+
+def test_training_leaves_no_token_out():
+    m = lm.Model(np.array([50] + [10] * 99), 30, n=8)
+    before = m.w["o"].copy()
+    m.train([np.array([1, 2, 3, 0] * 32 + [98])], epochs=1, streams=2)
+    assert (m.w["o"] - before)[98] > 0 > (m.w["o"] - before)[1:98].min()
+
+
+def test_rows_beyond_a_floats_range():
+    a = np.array([[200.0, 199.0], [-200.0, -201.0], [1.0, 0.0]], dtype=np.float32)
+    _, total, top = lm._exp_rows(a)
+    assert np.allclose(a[:, 0] - top - np.log(total), -math.log(1 + math.exp(-1)), atol=1e-4)

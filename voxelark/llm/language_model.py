@@ -7,7 +7,7 @@ rare words are joined with, so nothing sent around grows with the vocabulary.
 The recurrent model knows the most frequent ``model_words`` words, the end and one mark for all
 rarer words. Its output softmax is factored: first a class, then a word of that class. It is trained by
 backpropagation truncated to windows, the state carried from one window to the next: first on the
-driver on a bounded sample, then by every task on a fixed share of its own training documents, and
+driver on a bounded sample, then by every task on all of its own training documents, and
 the tasks' changes are averaged by their tokens. Output biases start from the counts of the whole corpus.
 A rare word's probability is the mark's times its share in the counts of rare words. Documents
 are scored whole, window after window with the state carried on.
@@ -30,6 +30,7 @@ from .rnn import Adam, gru_back, gru_init, gru_run, gru_step
 HEAD = 131_072
 _END = np.uint64(0xE5D)  # the end token's number; words' numbers are 64-bit hashes
 _LN10 = np.log(10)
+_ROWS = 8192
 
 
 def held_out(id_col: F.Column, mod: int, rest: int) -> F.Column:
@@ -71,83 +72,120 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def _exp_rows(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """exp of the rows, each row's sum, and what was taken off the rows first: their largest, where plain sums leave a float's range."""
+    ones = np.ones(a.shape[1], dtype=a.dtype)
+    with np.errstate(over="ignore"):
+        e = np.exp(a)
+        total = e @ ones
+    if np.isfinite(total).all() and (total > 1e-30).all():
+        return e, total, 0.0
+    top = a.max(axis=1)
+    e = np.exp(a - top[:, None])
+    return e, e @ ones, top
+
+
 class Model:
-    """Words 0 (the end) to ``words - 1`` and the mark ``words`` for all others; classes of ``CLASS`` words."""
+    """Words 0 (the end) to ``words - 1`` and the mark ``words`` for all others.
+
+    Classes are runs of words with about equal sums of the roots of their counts: few of the
+    frequent words a class, many of the rare ones.
+    """
 
-    CLASS = 64
+    CLASSES = 64
     WINDOW = 32
 
     def __init__(self, counts: np.ndarray, rare: int, n: int = 24, seed: int = 0):
         rng = np.random.default_rng(seed)
         self.words, self.n = len(counts), n
-        self.classes = -(-self.words // self.CLASS) + 1  # the mark is a class of its own
         p = np.maximum(np.concatenate([counts, [rare]]).astype(np.float64), 1)
-        by_class = np.add.reduceat(p[:-1], np.arange(0, self.words, self.CLASS))
+        mass = np.cumsum(np.sqrt(p[:-1]))
+        _, self.first = np.unique(np.minimum(self.CLASSES * (mass - np.sqrt(p[:-1])) / mass[-1], self.CLASSES - 1).astype(np.int64), return_index=True)
+        self.classes = len(self.first) + 1  # the mark is a class of its own
+        self.class_of = np.repeat(np.arange(self.classes), np.diff(np.concatenate([self.first, [self.words, self.words + 1]])))
+        by_class = np.add.reduceat(p[:-1], self.first)
         gru = gru_init(rng, n, n)
         self.w = {
             "E": rng.normal(0, 0.1, (self.words + 1, n)).astype(np.float32), "W": gru["W"], "U": gru["U"], "b": gru["b"],
-            "C": rng.normal(0, 0.05, (n, self.classes)).astype(np.float32), "c": np.log(np.concatenate([by_class, p[-1:]])).astype(np.float32),
-            "O": rng.normal(0, 0.05, (self.words, n)).astype(np.float32), "o": np.log(p[:-1]).astype(np.float32),
+            "C": rng.normal(0, 0.05, (n, self.classes)).astype(np.float32), "c": np.log(np.concatenate([by_class, p[-1:]]) / p.sum()).astype(np.float32),
+            "O": rng.normal(0, 0.05, (self.words, n)).astype(np.float32), "o": np.log(p[:-1] / by_class[self.class_of[:-1]]).astype(np.float32),
         }
 
-    def _in_class(self, cls: np.ndarray) -> Iterator[tuple[int, slice, np.ndarray]]:
-        """(class, its words, places of its tokens) of the classes that occur, but the mark's."""
-        order = np.argsort(cls, kind="stable")
+    def _in_class(self, cls: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+        """(its words, places of its tokens) of the classes that occur, but the mark's and those of one word."""
+        order = np.argsort(cls.astype(np.int16), kind="stable")
         bounds = np.searchsorted(cls[order], np.arange(self.classes))
+        ends = np.append(self.first[1:], self.words)
         for c in range(self.classes - 1):
             at = order[bounds[c] : bounds[c + 1]]
-            if len(at):
-                yield c, slice(c * self.CLASS, min(self.words, (c + 1) * self.CLASS)), at
+            if len(at) and ends[c] - self.first[c] > 1:
+                yield slice(self.first[c], ends[c]), at
 
     def log_probs(self, H: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural logs of the probabilities of ``ids`` after the states ``H``."""
         w = self.w
-        cls = np.where(ids == self.words, self.classes - 1, ids // self.CLASS)
-        a = H @ w["C"] + w["c"]
-        top = a.max(axis=1)
-        out = a[np.arange(len(ids)), cls] - top - np.log(np.exp(a - top[:, None]).sum(axis=1))
-        for _, words, at in self._in_class(cls):
-            a = H[at] @ w["O"][words].T + w["o"][words]
-            top = a.max(axis=1)
-            out[at] += a[np.arange(len(at)), ids[at] - words.start] - top - np.log(np.exp(a - top[:, None]).sum(axis=1))
+        cls = self.class_of[ids]
+
+        def logs(a: np.ndarray, right: np.ndarray) -> np.ndarray:
+            _, total, top = _exp_rows(a)
+            return a[np.arange(len(a)), right] - top - np.log(total)
+
+        out = np.empty(len(ids), dtype=np.float32)
+        for k in range(0, len(ids), _ROWS):
+            a = H[k : k + _ROWS] @ w["C"]
+            a += w["c"]
+            out[k : k + _ROWS] = logs(a, cls[k : k + _ROWS])
+        for words, at in self._in_class(cls):
+            a = H.take(at, axis=0) @ w["O"][words].T
+            a += w["o"][words]
+            out[at] += logs(a, ids[at] - words.start)
         return out
 
     def _loss(self, H: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """Gradients of the mean loss: of ``H`` and of the output weights."""
         w, m = self.w, len(ids)
-        cls = np.where(ids == self.words, self.classes - 1, ids // self.CLASS)
+        cls = self.class_of[ids]
 
         def soft(a: np.ndarray, right: np.ndarray) -> np.ndarray:
-            e = np.exp(a - a.max(axis=1, keepdims=True))
-            e /= e.sum(axis=1, keepdims=True)
-            e[np.arange(len(e)), right] -= 1
-            return e / np.float32(m)
-
-        d = soft(H @ w["C"] + w["c"], cls)
-        dH, g = d @ w["C"].T, {"C": H.T @ d, "c": d.sum(axis=0), "O": np.zeros_like(w["O"]), "o": np.zeros_like(w["o"])}
-        for _, words, at in self._in_class(cls):
-            d = soft(H[at] @ w["O"][words].T + w["o"][words], ids[at] - words.start)
+            e, total, _ = _exp_rows(a)
+            e *= (1 / (total * np.float32(m)))[:, None]
+            e[np.arange(len(e)), right] -= np.float32(1 / m)
+            return e
+
+        a = H @ w["C"]
+        a += w["c"]
+        d = soft(a, cls)
+        dH, g = d @ w["C"].T, {"C": H.T @ d, "c": np.ones(m, dtype=np.float32) @ d, "O": np.zeros_like(w["O"]), "o": np.zeros_like(w["o"])}
+        for words, at in self._in_class(cls):
+            h = H.take(at, axis=0)
+            a = h @ w["O"][words].T
+            a += w["o"][words]
+            d = soft(a, ids[at] - words.start)
             dH[at] += d @ w["O"][words]
-            g["O"][words], g["o"][words] = d.T @ H[at], d.sum(axis=0)
+            g["O"][words], g["o"][words] = d.T @ h, np.ones(len(at), dtype=np.float32) @ d
         return dH, g
 
-    def train(self, docs: list[np.ndarray], epochs: int = 3, streams: int = 32, rate: float = 4e-3) -> None:
-        """``docs``: token places, ends included, read as ``streams`` parallel streams of whole documents."""
+    def train(self, docs: list[np.ndarray], epochs: int = 3, streams: int = 32, rate: float = 4e-3, adam: Adam | None = None) -> None:
+        """``docs``: token places, ends included, read as ``streams`` parallel streams of equal length.
+
+        The last stream is filled up with the first tokens, so none is left out. ``adam`` carries
+        on the steps of an earlier part.
+        """
         flat = np.concatenate(docs) if docs else np.zeros(0, dtype=np.int64)
-        streams = max(1, min(streams, len(flat) // (2 * self.WINDOW)))
-        per = len(flat) // streams
-        if per < 2:
+        if not len(flat):
             return
-        text = flat[: per * streams].reshape(streams, per).T
-        before = np.concatenate([np.zeros((1, streams), dtype=np.int64), text[:-1]])
-        adam = Adam(self.w, rate)
+        streams = max(1, min(streams, len(flat) // (2 * self.WINDOW)))
+        per = -(-len(flat) // streams)
+        text = np.resize(flat, per * streams).reshape(streams, per).T
+        before = np.concatenate([np.zeros((1, streams), dtype=text.dtype), text[:-1]])
+        adam = adam or Adam(self.w, rate)
         for epoch in range(epochs):
             adam.rate = rate / (1 + epoch)
             h = np.zeros((streams, self.n), dtype=np.float32)
             for a in range(0, per, self.WINDOW):
                 x_ids, y = before[a : a + self.WINDOW], text[a : a + self.WINDOW].ravel()
                 h = h * (x_ids[0] != 0)[:, None]  # a document starts afresh
-                e = self.w["E"][x_ids]
+                e = self.w["E"].take(x_ids, axis=0)
                 x = e @ self.w["W"] + self.w["b"]
                 H, held = gru_run(x, h, self.w["U"])
                 dH, g = self._loss(H.reshape(-1, self.n), y)
@@ -155,7 +193,10 @@ class Model:
                 flat_dx = dx.reshape(-1, dx.shape[2])
                 g["W"], g["b"] = e.reshape(-1, self.n).T @ flat_dx, flat_dx.sum(axis=0)
                 g["E"] = np.zeros_like(self.w["E"])
-                np.add.at(g["E"], x_ids.ravel(), flat_dx @ self.w["W"].T)
+                order = np.argsort(x_ids.ravel().astype(np.int16) if self.words < 1 << 15 else x_ids.ravel(), kind="stable")
+                own = x_ids.ravel()[order]
+                first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                g["E"][own[first]] = np.add.reduceat((flat_dx @ self.w["W"].T).take(order, axis=0), first)
                 adam.step(g)
                 h = H[-1]
 
@@ -192,6 +233,7 @@ class Model:
 
 
 _PIECES = 16
+_PART = 4 << 20  # tokens that a task holds at once
 
 
 def averaged(model: Model, train: DataFrame, known: np.ndarray, rate: float = 1e-3) -> Model:
@@ -205,17 +247,25 @@ def averaged(model: Model, train: DataFrame, known: np.ndarray, rate: float = 1e
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = sent.value
-        vocabulary, docs = Lookup(known), []
-        for batch in batches_of(batches, "text", 2 << 20):
-            tokens, per_text = token_numbers(batch.column(0).to_pylist())
-            ids = vocabulary.find(tokens)
-            docs.append(np.where(ids < 0, model.words, ids))
-        n = sum(map(len, docs))
-        if n < 2 * model.WINDOW:
-            return
+        vocabulary, docs, n, held = Lookup(known), [], 0, 0
         before = {k: v.copy() for k, v in model.w.items()}
         model.w = {k: v.copy() for k, v in before.items()}
-        model.train(docs, epochs=1, streams=128, rate=rate)
+        adam = Adam(model.w, rate)
+
+        def learn() -> None:
+            model.train(docs, epochs=1, streams=256, rate=rate, adam=adam)
+            docs.clear()
+
+        for batch in batches_of(batches, "text", 2 << 20):
+            ids = vocabulary.find(token_numbers(batch.column(0).to_pylist())[0])
+            docs.append(np.where(ids < 0, model.words, ids).astype(np.int32))
+            n, held = n + len(ids), held + len(ids)
+            if held >= _PART:
+                learn()
+                held = 0
+        learn()
+        if not n:
+            return
         for k, v in model.w.items():
             for piece, x in enumerate(np.array_split((v - before[k]).ravel().astype(np.float64) * n, _PIECES)):
                 yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([piece]), pa.array([n]), pa.array([x.tolist()], type=pa.list_(pa.float64()))], ["name", "piece", "n", "change"])
@@ -233,12 +283,12 @@ def averaged(model: Model, train: DataFrame, known: np.ndarray, rate: float = 1e
     return model
 
 
-def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, rest: int = 2, model_words: int = 4096, train_bytes: int = 3 << 20, share: int = 16, head: int = HEAD) -> DataFrame:
+def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, rest: int = 2, model_words: int = 4096, train_bytes: int = 3 << 20, head: int = HEAD) -> DataFrame:
     """Rows (id_col, held_out, n_tokens, n_known, train_tokens, base_score, score), one per row of ``df``.
 
     Training documents are those whose id's crc32 doesn't leave ``rest``; counts cover all of them,
     the recurrent weights are fitted on a sample of about ``train_bytes`` of text at most, of
-    documents no longer than that, and then by all tasks on one of ``share`` training documents. Scores are log10.
+    documents no longer than that, and then by all tasks on all training documents. Scores are log10.
     Null and empty texts are the end token alone. Null ids are training documents; repeated
     rows count and are scored each. Without training documents every token is unknown.
     """
@@ -269,7 +319,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         ids = vocabulary.find(token_numbers([text])[0])
         docs_ids.append(np.where(ids < 0, model.words, ids))
     model.train(docs_ids)
-    model = averaged(model, train.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(share)) == 0), known)
+    model = averaged(model, train, known)
 
     sent = spark.sparkContext.broadcast((model, known, h, c))
 
