@@ -46,3 +46,17 @@ def test_query_rows(spark, messy, nothing):
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "x password=abcdefgh1 y"), (2, None), (3, "clean")], "doc_id long, text string")
     assert [r["text"] for r in secrets.redact(df).orderBy("doc_id").collect()] == ["x [SECRET] y", None, "clean"]
+
+
+def test_key_words_are_lexed_too():
+    for name in ("password", "secret", "pwd", "credential"):
+        for text, want in (
+            (f'{name} = "p@ssW0rd!Longer#Secret"', ["p@ssW0rd!Longer#Secret"]),
+            (f'{name} = "Zx8" + "91kQpL02vTnB7"', ["Zx8", "91kQpL02vTnB7"]),
+            (f'part = "zK93mQ81xVw2"\ndb_{name} = part', ["zK93mQ81xVw2"]),
+        ):
+            hidden = "".join(text[a:b] for _, a, b, _, _ in secrets.lex(text))
+            assert all(w in hidden for w in want), text
+    text = 'password="abcdefgh!restOfSecret"'
+    assert [s[:3] for s in secrets.lex(text)] == [("assign", 0, 18), ("lexed", 18, 31)]
+    assert [s[0] for s in secrets.lex("password=abcdefgh1=zK93mQ81xVw2")] == ["assign"]

@@ -130,11 +130,17 @@ def lex(text: str, threshold: float = 0.6) -> list[tuple[str, int, int, str, flo
     """All spans of a text, by start, then kind as listed."""
     spans: list[tuple[str, int, int, str, float]] = []
     constants: dict[str, list[tuple[int, int, str]]] = {}
-    last, covered = 0, []  # covered: places taken, in order, without overlaps
-
-    def taken(a: int, b: int) -> bool:
-        k = bisect.bisect_left(covered, (b,))
-        return k > 0 and covered[k - 1][1] > a
+    last, covered = 0, []  # last: where the next assign span may start; covered: places taken, in order, without overlaps
+
+    def free(a: int, b: int) -> list[tuple[int, int]]:
+        """The parts of a place that aren't taken."""
+        parts = []
+        for k in range(max(0, bisect.bisect_left(covered, (a,)) - 1), bisect.bisect_left(covered, (b,))):
+            x, y = covered[k]
+            if a < x:
+                parts.append((a, x))
+            a = max(a, y)
+        return parts + [(a, b)] if a < b else parts
 
     for m in _SITE.finditer(text):
         site = m.start()
@@ -145,8 +151,9 @@ def lex(text: str, threshold: float = 0.6) -> list[tuple[str, int, int, str, flo
                 last = value.end()
                 if len(value[0]) >= MIN_VALUE:
                     spans.append(("assign", start, last, text[start:site].rstrip(" \"'"), 1.0))
-                    bisect.insort(covered, (start, last))
-        if site < last or text[site + 1 : site + 2] == "=" or (site and text[site - 1] in "=!<>"):
+                    for part in free(start, last):
+                        bisect.insort(covered, part)
+        if text[site + 1 : site + 2] == "=" or (site and text[site - 1] in "=!<>"):
             continue
         name = _name_before(text, site)
         if not name:
@@ -163,9 +170,9 @@ def lex(text: str, threshold: float = 0.6) -> list[tuple[str, int, int, str, flo
         score = weight * literal_score("".join(v for _, _, v in literals))
         if score >= threshold:
             for a, b, _ in literals:
-                if b > a and not taken(a, b):
-                    spans.append(("lexed", a, b, name, round(score, 6)))
-                    bisect.insort(covered, (a, b))
+                for x, y in free(a, b):
+                    spans.append(("lexed", x, y, name, round(score, 6)))
+                    bisect.insort(covered, (x, y))
     spans += [("access", m.start(), m.end(), "", 1.0) for m in ACCESS.finditer(text)]
     spans += [("hex", m.start(), m.end(), "", 1.0) for m in HEX.finditer(text)]
     spans.sort(key=lambda s: (s[1], KINDS.index(s[0])))
