@@ -80,8 +80,8 @@ def poisson(points: DataFrame, depth: int = 8, base: int = 5, scale: float = 1.1
 
     points: x, y, z, nx, ny, nz and the ``aux`` columns; rows without a usable normal, or outside the
     unit cube, are left out. Samples are summed per finest cell first; normals are splatted
-    at the depth that the density suggests. ``smooth``: fit values 0 and gradients at samples
-    with a curvature term.
+    at the finest depth, whatever the density. ``smooth``: the same right side, values 0 at
+    samples and a curvature term; gradients aren't fitted at samples.
     """
     spark = points.sparkSession
     base = min(base, depth)
