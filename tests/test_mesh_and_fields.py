@@ -159,3 +159,9 @@ def test_distance_grows_away_from_the_mesh(spark):
     at = spark.createDataFrame([(0, 1.0, 0.5, 0.5), (1, 1.2, 0.5, 0.5), (2, 1.4, 0.5, 0.5)], "p int, x double, y double, z double")
     x = [r["value"] for r in d.evaluate(at, "p").orderBy("p").collect()]
     assert x[0] < x[1] < x[2]
+
+
+def test_colours_are_read_at_every_point(spark):
+    from voxelark.plans import field_queries
+
+    assert field_queries.interpolated_colors(spark, "").select("pid").distinct().count() == 3000

@@ -128,7 +128,7 @@ def interpolated_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colours of a banded sphere read at its own points: weighted means, so inside the range of the data."""
     p = apps.sphere(spark, 3000, color=True)
     im = apps.poisson(p, 4, 4, aux=("red", "green", "blue"))
-    return im.aux_at(p.filter("pid % 30 = 0"), "pid").select("pid", *(quant(F.col(c), 2).alias(c) for c in ("red", "green", "blue")))
+    return im.aux_at(p, "pid").select("pid", *(quant(F.col(c), 2).alias(c) for c in ("red", "green", "blue")))
 
 
 @query()
