@@ -31,6 +31,28 @@ def test_ids_are_the_tokenizers():
         assert fast.ids(text) == slow.encode(text, add_special_tokens=False).ids
 
 
+def test_long_runs_of_one_letter():
+    slow, fast = Tokenizer.from_file(P.path("byte_bpe_50k.json")), p.Tokenizer()
+    for text in (" " * 10**6 + "x", "\n" * 10**6 + "x", "a" * 10**6, "7" * 10**6, "é" * 10**5 + " " * 3000):
+        assert fast.ids(text) == slow.encode(text, add_special_tokens=False).ids
+    fast._blanks = p.re.compile("(?!)")  # a panic of the faster library falls back too
+    assert fast.ids(" " * 10**6 + "x") == slow.encode(" " * 10**6 + "x", add_special_tokens=False).ids
+
+
+def test_blocks_hold_few_pieces(spark, messy):
+    def filled(df):
+        by = {}
+        for r in df.collect():
+            by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        assert all(sum(n for _, n in b[:k]) == at for b in map(sorted, by.values()) for k, (at, _) in enumerate(b))
+        return len(by), sorted(n for b in by.values() for _, n in b)
+
+    many = spark.createDataFrame([(k, "w " * (k * 7 % 900)) for k in range(400)] + [(k, "w " * 600) for k in range(90)], "doc_id long, text string").repartition(2)
+    (n, lengths), (few, same) = filled(p.pack(many)), filled(p.pack(many, block=16))
+    assert lengths == same and few <= 1.1 * n + 2
+    assert filled(p.pack(messy, block=1))[1] == filled(p.pack(messy))[1]
+
+
 def test_sequences(messy, nothing):
     slow = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     want = []

@@ -5,6 +5,9 @@ sequences. Nearly full sequences are done. Underfull ones travel on as items of
 they are dealt to fewer partitions (``fan_in`` to one) and packed again, until one partition is
 left or nothing more fits. What travels is pieces' numbers, never texts or ids; a partition's
 share of underfull sequences stays under ``rows_per_task`` by the number of partitions kept.
+
+The first round holds at most about ``block`` pieces at a time: sequences that close leave at once,
+underfull ones stay as items for the pieces that follow.
 """
 
 from __future__ import annotations
@@ -31,10 +34,13 @@ BINS = "total int, done boolean, sequence_id long, pieces array<struct<doc_id:lo
 class Tokenizer:
     """The ids that ``tokenizers`` gives, from the same vocabulary's faster library where both agree.
 
-    Texts with letters beyond Latin, or with a special token's string, go to ``tokenizers`` itself.
+    Texts with letters beyond Latin, with a special token's string or with long runs of white space
+    (the faster library's pattern recurses over those until its stack ends) go to ``tokenizers``
+    itself, and so does any text on which the faster library panics.
     """
 
     _rare = re.compile("[^\x00-ɏ]|<\\|")
+    _blanks = re.compile("\\s{1000}")
 
     def __init__(self, name: str = "byte_bpe_50k"):
         import base64
@@ -49,9 +55,13 @@ class Tokenizer:
         self.slow = Slow.from_file(P.path(f"{name}.json"))
 
     def ids(self, text: str) -> list[int]:
-        if self._rare.search(text):
-            return self.slow.encode(text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(text)
+        if not self._rare.search(text) and not self._blanks.search(text):
+            try:
+                return self.fast.encode_ordinary(text)
+            except BaseException as e:
+                if type(e).__name__ != "PanicException":  # not an Exception; its class can't be imported
+                    raise
+        return self.slow.encode(text, add_special_tokens=False).ids
 
 
 def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -89,20 +99,32 @@ def best_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
-def _packed(totals: list[int], contents: list[list[dict]], level: int, slack: int, capacity: int) -> pa.RecordBatch:
-    """Bins of items; ``contents`` are the items' pieces. Numbers are unique by level and partition."""
-    task = TaskContext.get()
-    base = (level << 56) | ((task.partitionId() if task else 0) << 32)
-    rows: list[list] = [[], [], [], []]
-    for k, members in enumerate(best_fit(np.array(totals, dtype=np.int64), capacity)):
-        total = sum(totals[m] for m in members)
-        for column, value in zip(rows, (total, total >= capacity - slack, base + k, [p for m in members for p in contents[m]]), strict=True):
-            column.append(value)
-    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(rows, _BINS, strict=True)], schema=_BINS)
+def _bins(items: list[tuple[int, list[dict]]], capacity: int) -> list[tuple[int, list[dict]]]:
+    """Bins of items, both as (tokens, pieces)."""
+    sizes = np.array([n for n, _ in items], dtype=np.int64)
+    return [(int(sizes[members].sum()), [p for m in members for p in items[m][1]]) for members in best_fit(sizes, capacity)]
+
+
+class _Rows:
+    """Record batches of bins with numbers that are unique by level, partition and order."""
+
+    def __init__(self, level: int, full: int):
+        task = TaskContext.get()
+        self.next, self.full = (level << 56) | ((task.partitionId() if task else 0) << 32), full
+
+    def __call__(self, bins: list[tuple[int, list[dict]]]) -> pa.RecordBatch:
+        numbers = range(self.next, self.next + len(bins))
+        self.next += len(bins)
+        columns = [n for n, _ in bins], [n >= self.full for n, _ in bins], list(numbers), [p for _, p in bins]
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, _BINS, strict=True)], schema=_BINS)
 
 
 def tokenize(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k", capacity: int = CAPACITY) -> DataFrame:
-    """Rows (id_col, piece, start, length, ids): each document's ids, end id last, cut into pieces."""
+    """Rows (id_col, piece, start, length, ids): each document's ids, end id last, cut into pieces.
+
+    Null and empty texts are the end id alone; long texts are read whole; null ids and repeated
+    rows give rows like others; an empty table gives none; further columns are not looked at.
+    """
     kind = dict(df.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,28 +143,37 @@ def tokenize(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     return rows.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids array<int>").withColumnRenamed("id", id_col)
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k", capacity: int = CAPACITY, slack: int = 4, fan_in: int = 8, rows_per_task: int = 50_000) -> DataFrame:
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k", capacity: int = CAPACITY, slack: int = 4, fan_in: int = 8, rows_per_task: int = 50_000, block: int = 65_536) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset), one per piece.
 
     ``slack``: free tokens at which a sequence counts as full. Null and empty texts are the end id
-    alone; null ids and repeated rows are packed like others; an empty table has no sequences.
+    alone; texts of any length are read whole and only their pieces' numbers are held; equal
+    lengths are packed in the order given; null ids and repeated rows are packed like others; an
+    empty table has no sequences; further columns are not looked at.
     """
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, totals, contents = Tokenizer(tokenizer), [], []
+        coder, rows, items = Tokenizer(tokenizer), _Rows(0, capacity - slack), []
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
                 ids = np.array([*coder.ids(text), END_ID], dtype="<u4")
                 for k, (start, n) in enumerate(cuts(len(ids), capacity)):
-                    totals.append(n)
-                    contents.append([{"doc_id": key, "piece": k, "start": start, "length": n, "ids_crc32": zlib.crc32(ids[start : start + n].tobytes())}])
-        yield _packed(totals, contents, 0, slack, capacity)
+                    items.append((n, [{"doc_id": key, "piece": k, "start": start, "length": n, "ids_crc32": zlib.crc32(ids[start : start + n].tobytes())}]))
+                if len(items) >= block:
+                    bins = _bins(items, capacity)
+                    items = [b for b in bins if b[0] < rows.full]
+                    if 2 * len(items) > block:  # they hardly fit together
+                        yield rows(bins)
+                        items = []
+                    else:
+                        yield rows([b for b in bins if b[0] >= rows.full])
+        yield rows(_bins(items, capacity))
 
     def again(level: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = [r for b in batches for r in b.select(["total", "sequence_id", "pieces"]).to_pylist()]
-            rows.sort(key=lambda r: r["sequence_id"])
-            yield _packed([r["total"] for r in rows], [r["pieces"] for r in rows], level, slack, capacity)
+            got = [r for b in batches for r in b.select(["total", "sequence_id", "pieces"]).to_pylist()]
+            got.sort(key=lambda r: r["sequence_id"])
+            yield _Rows(level, capacity - slack)(_bins([(r["total"], r["pieces"]) for r in got], capacity))
 
         return run
 
