@@ -32,6 +32,45 @@ def test_names_literals_and_constants():
     assert secrets.lex('title: "aB3dE5gH7jK9"') == []
 
 
+def test_constants_of_constants_and_long_texts():
+    import time
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcDEF0123456789xyzQ") for _ in range(16))
+    chain = "".join(f'part_{k + 1} = part_{k} + "{word()}"\n' for k in range(5000))
+    texts = {
+        "doubled": 'password_b="zK93mQ81xVw2"\n' + "password_b=password_b+password_b\n" * 4000,
+        "chained": f'part_0 = "{word()}"\n{chain}db_pwd = part_5000\ncredential = part_4000\n',
+        "nested": "pwd=" * 250_000, "tokens": "token=" * 150_000, "names": "a" * 10**6 + " ! = 1", "equal": "=" * 10**6,
+        "blank": " " * 10**6 + "=", "quotes": "x='y=\"" * 150_000, "letters": "x" * 10**6, "digits": "0" * 10**6, "mixed": f"k={word()}:pwd=" * 40_000,
+    }
+    for name, text in texts.items():
+        began = time.process_time()
+        spans = secrets.lex(text)
+        assert time.process_time() - began < 20, name
+        if name == "doubled":
+            assert [s[:3] for s in spans] == [("lexed", 12, 24)]
+        if name == "chained":
+            assert [s[1:3] for s in spans] == [m.span(1) for m in re.finditer('"(.*?)"', text)]
+        if name in ("nested", "letters", "equal", "blank"):
+            assert spans == []
+
+
+def test_long_names_differ():
+    tail = "n" * 300
+    text = f'a_{tail} = "zK93mQ81xVw2"\nb_{tail} = "hello there all"\ndb_pwd = b_{tail}\n'
+    assert secrets.lex(text) == []
+    assert [s[1:3] for s in secrets.lex(text.replace("db_pwd = b_", "db_pwd = a_"))] == [(306, 318)]
+
+
+def test_bare_words_are_scored_from_each_site():
+    for text in ("pwd=aaaaaaaa=pwd=zK93mQ81xVw2", "note=pwd=zK93mQ81xVw2", "x := 1\ncredential := zK93mQ81xVw2"):
+        got = [s for s in secrets.lex(text) if s[0] == "lexed"]
+        assert got and got[-1][2] == len(text), text
+        a, b = got[0][1:3]
+        assert got[0][4] == round(secrets.name_score(got[0][3]) * secrets.literal_score(text[a:b]), 6)
+
+
 def test_query_rows(spark, messy, nothing):
     df = messy.union(spark.createDataFrame([(200, 'password = "hunter2hunter2" token: abcdefgh', "", "", 0, 1, "", [1])], messy.schema))
     got = sorted((r["doc_id"] or -1, r["n_assign"], r["base_sha256"]) for r in secrets.digest(secrets.scan_secrets(df)).collect())
