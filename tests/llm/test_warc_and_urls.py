@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from voxelark.llm import url_filter, warc
@@ -13,7 +14,10 @@ def pages(spark):
     return spark.createDataFrame([(i, u, h, "z") for i, u, h in rows], "page_id long, url string, html string, digest string").repartition(3), rows
 
 
-def test_round_trip(spark):
+@pytest.mark.parametrize("few", [True, False])
+def test_round_trip(spark, monkeypatch, few):
+    if not few:  # as when revisits are too many to broadcast
+        monkeypatch.setattr(warc, "small", lambda rows, most: rows)
     df, rows = pages(spark)
     got = sorted(((r["page_id"] if r["page_id"] is not None else -1), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"] or -1) for r in warc.round_trip(df).collect())
     top = {}
@@ -29,6 +33,12 @@ def test_round_trip(spark):
     assert warc.round_trip(df.filter("false")).count() == 0
 
 
+def test_urls_come_back(spark):
+    urls = ["http://x/\r\nevil: 1", "a\\b", 'q"\t"\\u0041', " spaced ", "http://é.例/", "x: y", "\x85\u2028", None]
+    df = spark.createDataFrame([(k, u, "h") for k, u in enumerate(urls)], "page_id long, url string, html string")
+    assert [r["url"] for r in warc.round_trip(df).orderBy("page_id").collect()] == urls
+
+
 def test_members_are_records(spark, tmp_path):
     df, rows = pages(spark)
     whole = warc.write_archives(df.coalesce(1), f"file://{tmp_path}/whole")

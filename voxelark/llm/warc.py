@@ -20,10 +20,10 @@ from urllib.parse import urlparse
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window  # noqa: F401
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import materialize, scratch, shared_dir, small
 
 _BLOCK = 1 << 20
 GZIP = 31  # zlib's window bits for a gzip header and trailer
@@ -61,10 +61,14 @@ def record(headers: list[tuple[str, str]], payload: bytes) -> bytes:
 
 
 def _header_value(text: str) -> str:
-    """One line: a URL may hold anything."""
+    """One line: a URL may hold anything; one that needs escaping holds a backslash then."""
     return json.dumps(text)[1:-1] if any(ord(c) < 32 or c == "\\" for c in text) else text
 
 
+def _from_header(value: str | None) -> str | None:
+    return json.loads(f'"{value}"', strict=False) if value and "\\" in value else value
+
+
 def page_record(page_id, url: str | None, payload: bytes, winner) -> bytes:
     """A response record, or a revisit of page ``winner`` without payload but with its digest and length."""
     revisit = winner is not None and page_id is not None and winner != page_id
@@ -117,13 +121,25 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
     Of pages with equal payloads (by SHA-1) of at least ``min_payload`` bytes, that with the largest
     id is the response and the others revisit it. Pages without an id are responses; so are
-    repeated rows of the largest id. Null html is the empty payload.
+    repeated rows of the largest id. Null html is the empty payload, null and empty urls are left
+    out; payloads are written whole; an empty table gives no archives; further columns are not
+    looked at.
+
+    Only ids and digests meet by digest; pages find their response by id and digest then, as
+    a broadcast where few pages are revisits, so that no payload is dealt by what many pages share.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    alike = rows.filter((F.octet_length("payload") >= min_payload) & F.col("id").isNotNull()).groupBy("digest")
-    winners = alike.agg(F.max("id").alias("winner"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "winner")
-    rows = rows.join(winners, "digest", "left").select("id", "url", "payload", "winner")
+    rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
+    keys = rows.filter((F.octet_length("payload") >= min_payload) & F.col("id").isNotNull()).select("id", "digest")
+    with scratch(pages.sparkSession):
+        keys = materialize(keys)
+        winners = materialize(keys.groupBy("digest").agg(F.max("id").alias("winner"), F.min("id").alias("least")).filter("least < winner").drop("least"))
+        revisits = materialize(keys.join(small(winners, 500_000), "digest").filter("id <> winner").distinct())
+        return _written(rows.join(small(revisits, 500_000), ["id", "digest"], "left").select("id", "url", "payload", "winner"), folder, level)
+
+
+def _written(rows: DataFrame, folder: str, level: int) -> list[str]:
+    """Archives of (id, url, payload, winner), one per partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = next((b for b in batches if b.num_rows), None)
@@ -151,7 +167,8 @@ def normalise(spark: SparkSession, paths: list[str], folder: str, level: int = 6
     """Rewrite archives with a gzip member for each record, each beside its index ``.idx``.
 
     A line of the index is a record's offset and compressed length. ``remove``: delete an
-    archive once its successor is complete.
+    archive once its successor is complete. Archives without records get empty successors; one
+    that ends within a record is an error; a record is held whole, nothing else is; no paths give none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +199,12 @@ def normalise(spark: SparkSession, paths: list[str], folder: str, level: int = 6
 
 
 def read_archives(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Rows (page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to) of normalised archives."""
+    """Rows (page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to) of normalised archives.
+
+    Records are taken one by one at the places in the index, whole. A revisit's payload is empty, its
+    size and digest are those of the page; ids, urls and references that weren't written are null;
+    records that were written twice are read twice; no paths give no rows.
+    """
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
     def number(urn: str | None) -> int | None:
@@ -200,7 +222,7 @@ def read_archives(spark: SparkSession, paths: list[str]) -> DataFrame:
                         f.seek(at)
                         h, body = parse(zlib.decompress(f.read(size), GZIP))
                         kind = h["WARC-Type"]
-                        rows.append((number(h["WARC-Record-ID"]), h.get("WARC-Target-URI"), body, int(h["X-Payload-Bytes"]), h["WARC-Payload-Digest"].removeprefix("sha1:"), kind, number(h.get("WARC-Refers-To"))))
+                        rows.append((number(h["WARC-Record-ID"]), _from_header(h.get("WARC-Target-URI")), body, int(h["X-Payload-Bytes"]), h["WARC-Payload-Digest"].removeprefix("sha1:"), kind, number(h.get("WARC-Refers-To"))))
                         held += len(body)
                         if held > 8 * _BLOCK:
                             yield pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -212,7 +234,8 @@ def read_archives(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Pages written as archives, normalised and read back from the shared folder."""
+    """Pages written as archives, normalised and read back from the shared folder; nulls, empty
+    pages, ties, repeats and empty tables as in ``write_archives`` and ``read_archives``."""
     spark = pages.sparkSession
     folder = shared_dir(spark)
     whole = write_archives(pages, f"{folder}/whole")
