@@ -123,6 +123,91 @@ def test_training_leaves_no_token_out():
     assert (m.w["o"] - before)[98] > 0 > (m.w["o"] - before)[1:98].min()
 
 
+def test_scores_are_those_of_single_steps():
+    m = lm.Model(np.array([50] + [10] * 99), 30, n=8)
+    m.train([np.array([1, 2, 3, 0, 7, 100, 0] * 100)], epochs=1)
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(1, 101, k).tolist() + [0] for k in (0, 1, 31, 32, 33, 150)]
+    want = []
+    for text in texts:
+        h, last, total = np.zeros((1, 8)), 0, 0.0
+        for y in text:
+            a, u = m.w["E"][last] @ m.w["W"] + m.w["b"], h @ m.w["U"]
+            z, r = (1 / (1 + np.exp(-(a[k : k + 8] + u[0, k : k + 8]))) for k in (0, 8))
+            new = np.tanh(a[16:] + r * u[0, 16:])
+            h = (new + z * (h[0] - new))[None]
+            by_class = (h @ m.w["C"] + m.w["c"])[0]
+            c = int(m.class_of[y])
+            total += by_class[c] - np.log(np.exp(by_class).sum())
+            if y < m.words:
+                own = np.flatnonzero(m.class_of[:-1] == c)
+                word = m.w["O"][own] @ h[0] + m.w["o"][own]
+                total += word[y - own[0]] - np.log(np.exp(word).sum())
+            last = y
+        want.append(total)
+    assert np.allclose(m.score(np.concatenate(texts), np.array([len(t) for t in texts])), want, rtol=1e-4)
+
+
+def test_documents_start_afresh_within_windows():
+    """Gradients of a window that holds two documents are those of the documents alone."""
+    rng = np.random.default_rng(0)
+    w = rnn.gru_init(rng, 3, 4)
+    x, d = rng.normal(size=(5, 1, 12)).astype(np.float32), rng.normal(size=(5, 1, 4)).astype(np.float32)
+    fresh = np.array([[True], [False], [True], [False], [False]])
+    zero = np.zeros((1, 4), dtype=np.float32)
+    H, held = rnn.gru_run(x, zero + 1, w["U"], fresh=fresh)
+    dx, dU = rnn.gru_back(d, held, w["U"])
+    alone = [(rnn.gru_run(x[s], zero, w["U"]), d[s]) for s in (slice(0, 2), slice(2, 5))]
+    assert np.allclose(H, np.concatenate([r[0] for r, _ in alone]), atol=1e-6)
+    back = [rnn.gru_back(g, r[1], w["U"]) for r, g in alone]
+    assert np.allclose(dx, np.concatenate([b[0] for b in back]), atol=1e-6) and np.allclose(dU, sum(b[1] for b in back), atol=1e-5)
+
+
+def test_held_out_documents_gain_over_counts(spark):
+    rng = random.Random(5)
+    follows = {f"w{k}": [f"w{(7 * k + j) % 60}" for j in range(3)] for k in range(60)}
+    rows = []
+    for k in range(1500):
+        w = [f"w{rng.randrange(60)}"]
+        while len(w) < 60:
+            w.append(rng.choice(follows[w[-1]]))
+        rows.append((k, " ".join(w)))
+    got = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).filter("held_out").collect()
+    assert sum(r["score"] for r in got) > 0.9 * sum(r["base_score"] for r in got)
+
+
+def test_changes_are_summed_as_a_tree(spark):
+    rows = [("a", p, t, 2, [float(t), 1.0]) for p in range(2) for t in range(30)]
+    got = sorted(tuple(r) for r in lm._summed(spark.createDataFrame(rows, lm._CHANGES), fan_in=3).collect())
+    assert got == [("a", p, 0, 60, [435.0, 30.0]) for p in range(2)]
+
+
+def test_logits_are_those_of_single_words():
+    rows = texts(random.Random(1), 300)
+    net = toxicity.fit([t for _, t, _ in rows], np.array([y for _, _, y in rows]), rounds=1)
+    b, lookup = toxicity.Batch(["", "one", rows[0][1], "two " * 100]), Lookup(net.known)
+    w, (_, x) = net.w, net.inputs(b, lookup)
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def read(places, side):
+        h, out, n = np.zeros(net.n), [], net.n
+        for p in places:
+            a, u = x[p] @ w[f"W{side}"] + w[f"b{side}"], h @ w[f"U{side}"]
+            z, r = sig(a[:n] + u[:n]), sig(a[n : 2 * n] + u[n : 2 * n])
+            new = np.tanh(a[2 * n :] + r * u[2 * n :])
+            h = new + z * (h - new)
+            out.append(h)
+        return out
+
+    want = []
+    for s, m in zip(b.start, b.length, strict=True):
+        places = b.of[s : s + m].tolist()
+        H = np.array([np.concatenate(p) for p in zip(read(places, "f"), read(places[::-1], "b")[::-1], strict=True)]).reshape(-1, 2 * net.n)
+        e = np.exp(np.tanh(H @ w["A"] + w["a"]) @ w["v"])
+        want.append(((e / e.sum())[:, None] * H).sum(axis=0) @ w["o"] + w["p"][0] if m else w["p"][0])
+    assert np.allclose(net.logits(b, lookup), want, atol=1e-3)
+
+
 def test_rows_beyond_a_floats_range():
     a = np.array([[200.0, 199.0], [-200.0, -201.0], [1.0, 0.0]], dtype=np.float32)
     _, total, top = lm._exp_rows(a)

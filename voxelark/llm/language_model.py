@@ -92,10 +92,10 @@ class Model:
     frequent words a class, many of the rare ones.
     """
 
-    CLASSES = 64
+    CLASSES = 48
     WINDOW = 32
 
-    def __init__(self, counts: np.ndarray, rare: int, n: int = 24, seed: int = 0):
+    def __init__(self, counts: np.ndarray, rare: int, n: int = 16, seed: int = 0):
         rng = np.random.default_rng(seed)
         self.words, self.n = len(counts), n
         p = np.maximum(np.concatenate([counts, [rare]]).astype(np.float64), 1)
@@ -168,8 +168,9 @@ class Model:
     def train(self, docs: list[np.ndarray], epochs: int = 3, streams: int = 32, rate: float = 4e-3, adam: Adam | None = None) -> None:
         """``docs``: token places, ends included, read as ``streams`` parallel streams of equal length.
 
-        The last stream is filled up with the first tokens, so none is left out. ``adam`` carries
-        on the steps of an earlier part.
+        The last stream is filled up with the first tokens, so none is left out. Every document
+        starts from a state of zeros, wherever in a window; a stream that starts within one is given
+        the word before. ``adam`` carries on the steps of an earlier part.
         """
         flat = np.concatenate(docs) if docs else np.zeros(0, dtype=np.int64)
         if not len(flat):
@@ -177,17 +178,16 @@ class Model:
         streams = max(1, min(streams, len(flat) // (2 * self.WINDOW)))
         per = -(-len(flat) // streams)
         text = np.resize(flat, per * streams).reshape(streams, per).T
-        before = np.concatenate([np.zeros((1, streams), dtype=text.dtype), text[:-1]])
+        before = np.concatenate([np.concatenate([[0], text[-1, :-1]]).astype(text.dtype)[None], text[:-1]])
         adam = adam or Adam(self.w, rate)
         for epoch in range(epochs):
             adam.rate = rate / (1 + epoch)
             h = np.zeros((streams, self.n), dtype=np.float32)
             for a in range(0, per, self.WINDOW):
                 x_ids, y = before[a : a + self.WINDOW], text[a : a + self.WINDOW].ravel()
-                h = h * (x_ids[0] != 0)[:, None]  # a document starts afresh
                 e = self.w["E"].take(x_ids, axis=0)
                 x = e @ self.w["W"] + self.w["b"]
-                H, held = gru_run(x, h, self.w["U"])
+                H, held = gru_run(x, h, self.w["U"], fresh=x_ids == 0)
                 dH, g = self._loss(H.reshape(-1, self.n), y)
                 dx, g["U"] = gru_back(dH.reshape(H.shape), held, self.w["U"])
                 flat_dx = dx.reshape(-1, dx.shape[2])
@@ -234,13 +234,31 @@ class Model:
 
 _PIECES = 16
 _PART = 4 << 20  # tokens that a task holds at once
+_CHANGES = "name string, piece long, task long, n long, change array<double>"
+
+
+def _summed(changes: DataFrame, fan_in: int = 64) -> DataFrame:
+    """One row (name, piece, 0, n, change) for each piece of each weight, added up as a tree: ``fan_in`` rows a task."""
+
+    def total(table: pa.Table) -> pa.Table:
+        x = np.sum([np.asarray(c.values) for c in table.column("change")], axis=0)
+        first = lambda c: [table.column(c)[0].as_py()]
+        return pa.table({"name": first("name"), "piece": first("piece"), "task": first("task"), "n": [sum(table.column("n").to_pylist())], "change": pa.array([x.tolist()], type=pa.list_(pa.float64()))})
+
+    changes = materialize(changes, narrow=True)
+    most = changes.agg(F.max("task")).first()[0] or 0
+    while True:
+        most //= fan_in
+        changes = materialize(changes.withColumn("task", F.expr(f"task div {fan_in}")).groupBy("name", "piece", "task").applyInArrow(total, _CHANGES), narrow=True)
+        if not most:
+            return changes
 
 
 def averaged(model: Model, train: DataFrame, known: np.ndarray, rate: float = 1e-3) -> Model:
-    """``model`` moved by the mean change of its copies that each task trains on its rows of ``train`` (text).
+    """``model`` moved by the mean change of its copies that each task trains on its rows of ``train`` (text), weighted by tokens.
 
-    Changes are summed in pieces by a shuffle, so what meets in a task is one piece from each; the
-    driver gets one sum of each piece.
+    A task reads each of its documents once, so the weights follow how rows are dealt to tasks; with the
+    same partitions they are the same. Changes are summed in pieces as a tree; the driver gets one sum of each.
     """
     spark = train.sparkSession
     sent = spark.sparkContext.broadcast((model, known))
@@ -266,16 +284,13 @@ def averaged(model: Model, train: DataFrame, known: np.ndarray, rate: float = 1e
         learn()
         if not n:
             return
+        task = TaskContext.get().partitionId()
         for k, v in model.w.items():
             for piece, x in enumerate(np.array_split((v - before[k]).ravel().astype(np.float64) * n, _PIECES)):
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([piece]), pa.array([n]), pa.array([x.tolist()], type=pa.list_(pa.float64()))], ["name", "piece", "n", "change"])
+                columns = [pa.array([y]) for y in (k, piece, task, n)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tolist()], type=pa.list_(pa.float64()))], ["name", "piece", "task", "n", "change"])
 
-    def total(table: pa.Table) -> pa.Table:
-        x = np.sum([np.asarray(c.values) for c in table.column("change")], axis=0)
-        return pa.table({"name": [table.column("name")[0].as_py()], "piece": [table.column("piece")[0].as_py()], "n": [sum(table.column("n").to_pylist())], "change": pa.array([x.tolist()], type=pa.list_(pa.float64()))})
-
-    kinds = "name string, piece long, n long, change array<double>"
-    sums = train.select("text").mapInArrow(run, kinds).groupBy("name", "piece").applyInArrow(total, kinds).collect()
+    sums = _summed(train.select("text").mapInArrow(run, _CHANGES)).collect()
     for k, v in model.w.items():
         parts = [(r["piece"], np.array(r["change"]) / r["n"]) for r in sums if r["name"] == k]
         if parts:
@@ -283,7 +298,7 @@ def averaged(model: Model, train: DataFrame, known: np.ndarray, rate: float = 1e
     return model
 
 
-def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, rest: int = 2, model_words: int = 4096, train_bytes: int = 3 << 20, head: int = HEAD) -> DataFrame:
+def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, rest: int = 2, model_words: int = 2048, train_bytes: int = 3 << 20, head: int = HEAD) -> DataFrame:
     """Rows (id_col, held_out, n_tokens, n_known, train_tokens, base_score, score), one per row of ``df``.
 
     Training documents are those whose id's crc32 doesn't leave ``rest``; counts cover all of them,
@@ -329,7 +344,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         logs = np.log10(np.append(c, 0) + 1.0)
         task = TaskContext.get().partitionId() << 40
         done = 0
-        for batch in batches_of(batches, "text", 2 << 20):
+        for batch in batches_of(batches, "text", 8 << 20):  # the longest text sets the number of steps
             tokens, per_text = token_numbers(batch.column(1).to_pylist())
             ids = vocabulary.find(tokens)
             rare = ids < 0

@@ -24,31 +24,36 @@ def gru_step(x: np.ndarray, h: np.ndarray, U: np.ndarray) -> np.ndarray:
     return new + gates[:, :n] * (h - new)
 
 
-def gru_run(x: np.ndarray, h: np.ndarray, U: np.ndarray, mask: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
+def gru_run(x: np.ndarray, h: np.ndarray, U: np.ndarray, mask: np.ndarray | None = None, fresh: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
     """States after each step of ``x`` (time, rows, 3n), and what backpropagation needs.
 
-    ``mask`` (time, rows): 0 keeps the state.
+    ``mask`` (time, rows): 0 keeps the state. ``fresh`` (time, rows): the step starts from a state of zeros.
     """
     steps, rows, n = len(x), len(h), h.shape[1]
     H = np.empty((steps + 1, rows, n), dtype=np.float32)
     G = np.empty((steps, rows, 2 * n), dtype=np.float32)
     N, A = np.empty((steps, rows, n), dtype=np.float32), np.empty((steps, rows, n), dtype=np.float32)
     H[0] = h
+    before = []  # the states that the steps start from
     for t in range(steps):
-        a = H[t] @ U
+        h = H[t]
+        if fresh is not None and fresh[t].any():
+            h = h * ~fresh[t][:, None]
+        before.append(h)
+        a = h @ U
         G[t] = sigmoid(x[t, :, : 2 * n] + a[:, : 2 * n])
         A[t] = a[:, 2 * n :]
         N[t] = np.tanh(x[t, :, 2 * n :] + G[t, :, n:] * A[t])
-        H[t + 1] = N[t] + G[t, :, :n] * (H[t] - N[t])
+        H[t + 1] = N[t] + G[t, :, :n] * (h - N[t])
         if mask is not None:
             m = mask[t][:, None]
-            H[t + 1] = m * H[t + 1] + (1 - m) * H[t]
-    return H[1:], (H, G, N, A, mask)
+            H[t + 1] = m * H[t + 1] + (1 - m) * h
+    return H[1:], (before, G, N, A, mask, fresh)
 
 
 def gru_back(dH: np.ndarray, held: tuple, U: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of the projected inputs and of U, given those of the states; none flows in from later windows."""
-    H, G, N, A, mask = held
+    H, G, N, A, mask, fresh = held
     steps, rows, n = dH.shape
     dx = np.empty((steps, rows, 3 * n), dtype=np.float32)
     dU = np.zeros_like(U)
@@ -67,6 +72,8 @@ def gru_back(dH: np.ndarray, held: tuple, U: np.ndarray) -> tuple[np.ndarray, np
         da = np.concatenate([dz, dr, dn * r], axis=1)
         dU += H[t].T @ da
         dh = d * z + da @ U.T + keep
+        if fresh is not None and fresh[t].any():
+            dh *= ~fresh[t][:, None]
     return dx, dU
 
 
