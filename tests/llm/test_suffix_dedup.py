@@ -23,7 +23,7 @@ def expected(docs):
     return sorted(out)
 
 
-@pytest.mark.parametrize("group_rows", [100_000, 2])
+@pytest.mark.parametrize("group_rows", [20_000, 2])
 def test_against_brute_force(messy, group_rows):
     got = sorted((-1 if r[0] is None else r[0], *tuple(r)[1:]) for r in s.digest(s.repeated_spans(messy, group_rows=group_rows)).collect())
     assert got == expected(brute(messy))
@@ -33,10 +33,27 @@ def test_empty(nothing):
     assert s.digest(s.repeated_spans(nothing)).count() == 0
 
 
-def test_every_long_string_holds_a_trigger(monkeypatch):
+def test_every_string_lies_in_one_phrase(monkeypatch):
     raw = np.random.default_rng(0).integers(97, 101, 5000).astype(np.uint8).tobytes()
-    at, h = s.triggers(raw)
-    assert np.diff(at).max() <= s.LEFT + 1 and at[0] <= s.LEFT and at[-1] + s.SPAN >= len(raw)
+    start, end, place, h = s.parse(raw)
+    assert start[0] == 0 and end[-1] == 4800 and (start[1:] == end[:-1] + 1).all()
+    assert ((place - end >= 0) & (place - start <= s.LEFT)).all()
     monkeypatch.setattr(s, "_SEGMENT", 500)
-    again, g = s.triggers(raw)
-    assert (at == again).all() and (h == g).all()
+    assert all((x == y).all() for x, y in zip(s.parse(raw), (start, end, place, h), strict=True))
+    alone = {raw[p : p + 200]: place[k] - p for k in range(len(start)) for p in range(start[k], end[k] + 1)}
+    for text, at in alone.items():
+        a, b, t, _ = s.parse(text)
+        assert len(a) == 1 and t[0] == at
+    assert all(len(x) == 0 for x in s.parse(b"x" * 199)) and len(s.parse(b"x" * 200)[0]) == 1
+
+
+def test_common_passages_and_single_letters(spark):
+    rng = np.random.default_rng(1)
+    word = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    passage, half = word(420), word(300)
+    docs = [(k, word(int(rng.integers(0, 300))) + passage[int(rng.integers(0, 30)) : 400 + int(rng.integers(0, 20))] + word(int(rng.integers(0, 300)))) for k in range(60)]
+    docs += [(100 + k, passage[k * 7 :] + half[: 150 + k]) for k in range(20)]
+    docs += [(200, "a" * 3000), (201, "b" * 200), (202, "ab" * 300), (203, "x" * 199), (204, "é" * 500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for most in (20_000, 3):
+        assert sorted(tuple(r) for r in s.digest(s.repeated_spans(df, group_rows=most)).collect()) == expected(docs)
