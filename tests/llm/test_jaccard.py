@@ -55,6 +55,13 @@ def test_random_near_copies(spark):
     assert sorted(map(tuple, j.jaccard_components(df, k=4, num=85).collect())) == expected(rows, 4, 85, 100)
 
 
+def test_shared_class_numbers_are_made_anew(messy, monkeypatch):
+    monkeypatch.setattr(j, "describe", lambda docs, k, seed=0, f=j.describe: f(docs, k, seed).withColumn("cls", j.F.when(j.F.lit(seed == 0), j.F.col("cls").bitwiseAND(7)).otherwise(j.F.col("cls"))))
+    docs = messy.selectExpr("doc_id as id", "text")
+    all_docs, firsts, seed = j._classes(docs, 4)
+    assert seed == 1 and firsts.count() == all_docs.filter("n > 0").select("n", "cls", "other").distinct().count()
+
+
 def test_empty(nothing):
     assert j.jaccard_components(nothing).count() == 0
 

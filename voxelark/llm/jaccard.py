@@ -13,7 +13,10 @@ as a group spans several components, each against its nearest members of other c
 are not yet refuted. A finer sketch of one parity bit per shingle bounds the difference from
 below (Hamming distance) and drops most pairs before their sets are compared.
 
-Documents of equal sets share one class number throughout, so copies never multiply.
+Documents of equal sets share one class number throughout, so copies never multiply. Shingles
+are 64-bit numbers. A class number has 64 bits, and each set another 64 beside it: should two sets have one
+class number and differ in the other or in size, all numbers are made anew with another seed, so
+sets are told apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -34,7 +37,6 @@ _U = np.uint64
 _BATCH = 1 << 20
 _BAND = 1.3
 _SLACK = 0.25
-_HASH_BITS = 50
 _CHUNK = 4096
 
 
@@ -69,7 +71,7 @@ class Plan:
 
 
 def shingle_sets(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sizes, shingles): each text's distinct shingles as numbers of 50 bits, in order, one text after the other."""
+    """(sizes, shingles): each text's distinct shingles as 64-bit numbers, in order, one text after the other."""
     w = Words(texts, SPACED)
     h, n_texts = w.hashes, len(texts)
     owner = np.repeat(np.arange(n_texts, dtype=np.int64), w.per_text)
@@ -91,27 +93,23 @@ def shingle_sets(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     if not keys:
         return np.zeros(n_texts, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     own = np.concatenate([x for x, _ in keys])
-    low = np.concatenate([x for _, x in keys]) >> _U(64 - _HASH_BITS)
-    if n_texts < 1 << (64 - _HASH_BITS):
-        packed = np.sort((own.astype(np.uint64) << _U(_HASH_BITS)) | low)
-        packed = packed[np.concatenate([[True], packed[1:] != packed[:-1]])]
-        own, low = (packed >> _U(_HASH_BITS)).astype(np.int64), packed & _U((1 << _HASH_BITS) - 1)
-    else:
-        order = np.lexsort((low, own))
-        own, low = own[order], low[order]
-        new = np.concatenate([[True], (own[1:] != own[:-1]) | (low[1:] != low[:-1])])
-        own, low = own[new], low[new]
+    low = np.concatenate([x for _, x in keys])
+    order = np.argsort(low)
+    order = order[np.argsort(own[order].astype(np.uint16) if n_texts < 1 << 16 else own[order], kind="stable")]
+    own, low = own[order], low[order]
+    new = np.concatenate([[True], (own[1:] != own[:-1]) | (low[1:] != low[:-1])])
+    own, low = own[new], low[new]
     return np.bincount(own, minlength=n_texts), low
 
 
-def class_numbers(sizes: np.ndarray, flat: np.ndarray) -> np.ndarray:
-    """A 64-bit number per set; empty sets get 0."""
+def class_numbers(sizes: np.ndarray, flat: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit number per set; empty sets get 0. Other seeds give unrelated numbers."""
     out = np.zeros(len(sizes), dtype=np.uint64)
     some = np.flatnonzero(sizes)
     if len(some):
         begin = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
         with np.errstate(over="ignore"):
-            total = np.add.reduceat(mix64(flat + _U(0x51ED27)), begin)
+            total = np.add.reduceat(mix64(flat ^ mix64(np.array([seed + 0x51ED27], dtype=np.uint64))), begin)
         out[some] = mix64(total ^ sizes[some].astype(np.uint64)) | _U(1)
     return out
 
@@ -182,20 +180,30 @@ def _i64(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def describe(df: DataFrame, k: int) -> DataFrame:
-    """Rows (id, n, cls, sketch) of every document (id, text)."""
+def describe(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """Rows (id, n, cls, other, sketch) of every document (id, text); ``other``: a second number of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, "text", _BATCH):
             sizes, flat = shingle_sets(strings(batch.column(1)), k)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), _i64(class_numbers(sizes, flat)), pa.array(bit_sketches(sizes, flat), type=pa.binary())], ["id", "n", "cls", "sketch"]
-            )
+            numbers = [_i64(class_numbers(sizes, flat, s)) for s in (seed, ~seed & 0xFFFFFFFF)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), *numbers, pa.array(bit_sketches(sizes, flat), type=pa.binary())], ["id", "n", "cls", "other", "sketch"])
 
-    return df.mapInArrow(run, f"id {dict(df.dtypes)['id']}, n long, cls long, sketch binary")
+    return df.mapInArrow(run, f"id {dict(df.dtypes)['id']}, n long, cls long, other long, sketch binary")
 
 
-def _matching_blocks(df: DataFrame, k: int, plan: Plan) -> DataFrame:
+def _classes(docs: DataFrame, k: int, seed: int = 0) -> tuple[DataFrame, DataFrame, int]:
+    """``describe``'s rows, the least id of each class, and the seed with which no two sets share a class."""
+    while True:
+        all_docs = materialize(describe(docs, k, seed))
+        firsts = all_docs.filter("n > 0").groupBy("cls").agg(F.min("id").alias("id"), *(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("n", "other")))
+        firsts = materialize(firsts)
+        if firsts.filter("min_n <> max_n OR min_other <> max_other").isEmpty():
+            return all_docs, firsts.select("cls", "id"), seed
+        seed += 1
+
+
+def _matching_blocks(df: DataFrame, k: int, plan: Plan, seed: int) -> DataFrame:
     """Rows (members): the classes, in order, of every block number that two or more classes have.
 
     Keys travel in arrays, one for each batch of texts and hash partition, and are matched by a
@@ -212,7 +220,7 @@ def _matching_blocks(df: DataFrame, k: int, plan: Plan) -> DataFrame:
         done: set[int] = set()
         for batch in batches_of(batches, "text", _BATCH):
             sizes, flat = shingle_sets(strings(batch.column(1)), k)
-            cls = class_numbers(sizes, flat)
+            cls = class_numbers(sizes, flat, seed)
             fresh = np.zeros(len(cls), dtype=bool)  # each class once a task
             for j, c in enumerate(cls.tolist()):
                 if c and c not in done:
@@ -276,10 +284,10 @@ def _refute(pairs: DataFrame, about: DataFrame, plan: Plan) -> DataFrame:
     return near.mapInArrow(run, "a long, b long")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, k: int, plan: Plan) -> DataFrame:
+def _verify(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, k: int, plan: Plan, seed: int) -> DataFrame:
     """Rows (a, b, linked) by comparing whole sets, made anew from the texts of the classes at hand."""
     ends = pairs.selectExpr("a as cls").union(pairs.selectExpr("b")).distinct()
-    sets = materialize(_sets(docs, materialize(ends.join(firsts, "cls").select("id").distinct(), narrow=True), k))
+    sets = materialize(_sets(docs, materialize(ends.join(firsts, "cls").select("id").distinct(), narrow=True), k, seed))
     sets = sets.join(small(materialize(ends, narrow=True)), "cls", "left_semi")
     x, y = (sets.select(F.col("cls").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "ab")
 
@@ -296,14 +304,14 @@ def _verify(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, k: int, plan:
     return pairs.join(x, "a").join(y, "b").mapInArrow(run, "a long, b long, linked boolean").distinct()
 
 
-def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+def _sets(docs: DataFrame, ids: DataFrame, k: int, seed: int) -> DataFrame:
     """Rows (cls, shingles) of the documents whose id is in ``ids`` or null, each class once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in batches_of(batches, "text", _BATCH):
             sizes, flat = shingle_sets(strings(batch.column(1)), k)
-            cls = class_numbers(sizes, flat).view(np.int64)
+            cls = class_numbers(sizes, flat, seed).view(np.int64)
             parts = np.split(flat.view(np.int64), np.cumsum(sizes)[:-1])
             fresh = [n for n, c in enumerate(cls.tolist()) if c not in done and not done.add(c)]
             yield pa.RecordBatch.from_arrays([pa.array(cls[fresh]), pa.array([parts[n] for n in fresh], type=pa.list_(pa.int64()))], ["cls", "shingles"])
@@ -372,17 +380,16 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def _components(docs: DataFrame, id_col: str, k: int, plan: Plan) -> DataFrame:
-    all_docs = materialize(describe(docs, k))
+    all_docs, firsts, seed = _classes(docs, k)
     some = all_docs.filter("n > 0")
-    firsts = materialize(some.groupBy("cls").agg(F.min("id").alias("id")))
     about = some.dropDuplicates(["cls"]).select("cls", "n", "sketch")
-    groups = materialize(_matching_blocks(docs, k, plan))
+    groups = materialize(_matching_blocks(docs, k, plan, seed))
     stars = groups.select(F.col("members")[0].alias("a"), F.explode(F.expr("slice(members, 2, size(members))")).alias("b")).distinct()
     pairs = materialize(_refute(stars, about, plan))
     large = groups.filter("size(members) > 2").distinct().withColumn("g", F.xxhash64("members"))
     in_play = pairs.selectExpr("a as cls").union(pairs.selectExpr("b")).union(large.select(F.explode("members"))).distinct()
     about = materialize(in_play.join(about, "cls"))
-    checked = materialize(_verify(pairs, docs, firsts, k, plan))
+    checked = materialize(_verify(pairs, docs, firsts, k, plan, seed))
     large = materialize(large)
     comp, refuted = components(checked.filter("linked")), checked.filter("NOT linked")
     nearest = 1  # most links join components at once; what is left then are pairs just under the threshold
@@ -394,7 +401,7 @@ def _components(docs: DataFrame, id_col: str, k: int, plan: Plan) -> DataFrame:
         nearest *= 8
         large = more.groupBy("g").agg(F.array_distinct(F.flatten(F.collect_list("open"))).alias("members"))
         pairs = more.select(F.explode(F.arrays_zip("a", "b")).alias("p")).select("p.a", "p.b").distinct()
-        checked = materialize(_verify(pairs, docs, firsts, k, plan))
+        checked = materialize(_verify(pairs, docs, firsts, k, plan, seed))
         comp, refuted = extended(comp, checked.filter("linked")), refuted.union(checked.filter("NOT linked"))
     labelled = all_docs.select("id", "n", "cls").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = firsts.join(comp.withColumnRenamed("node", "cls"), "cls", "left").groupBy(F.coalesce("comp", "cls").alias("comp")).agg(F.min("id").alias("least"))
