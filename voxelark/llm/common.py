@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,10 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder's address under ``spark.checkpoint.dir``.
 
-    Where that is unset (tests, a single machine) a local folder is made and set.
+    Where that is unset a local folder is made and set, if all runs on one machine; otherwise each machine
+    would have a folder of its own, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='voxelark-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -55,10 +59,13 @@ def scratch(spark: SparkSession):
         yield
     finally:
         _scratch.pop()
-        jvm = spark.sparkContext._jvm
         for path in paths:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialize(df: DataFrame, narrow: bool = False, keep: bool = False) -> DataFrame:
@@ -71,7 +78,15 @@ def materialize(df: DataFrame, narrow: bool = False, keep: bool = False) -> Data
     if _scratch and not keep:
         _scratch[-1].append(path)
     (df.coalesce(max(8, shuffle_partitions(spark) // 8)) if narrow else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def dispose(df: DataFrame) -> None:
+    """Delete the table that ``materialize`` wrote for ``df``; others stay."""
+    if path := getattr(df, "_written_at", None):
+        _delete(df.sparkSession, path)
 
 
 def small(ids: DataFrame, rows: int = 2_000_000) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, Words, batches_of, materialize
+from .common import SPACED, Words, batches_of, materialize, scratch
 from .lookup import Lookup
 from .rnn import Adam, gru_back, gru_init, gru_run, gru_step
 
@@ -307,8 +307,13 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null and empty texts are the end token alone. Null ids are training documents; repeated
     rows count and are scored each. Without training documents every token is unknown.
     """
-    spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), held_out(F.col(id_col), mod, rest).alias("held_out"))
+    with scratch(df.sparkSession):
+        return materialize(_scored(docs, model_words, train_bytes, head).withColumnRenamed("id", id_col), keep=True)
+
+
+def _scored(docs: DataFrame, model_words: int, train_bytes: int, head: int) -> DataFrame:
+    spark = docs.sparkSession
     train = docs.filter("NOT held_out")
     counts = materialize(word_counts(train))
     top = counts.orderBy(F.col("c").desc(), "h").limit(head).toArrow()
@@ -369,7 +374,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tail = tail.groupBy("row").agg(F.count(F.lit(1)).alias("n_tail"), F.sum(F.log10(F.col("c") + 1)).alias("tail_sum"))
     out = scored.drop("tail").join(tail, "row", "left").fillna(0, ["n_tail", "tail_sum"])
     return out.select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_head") + F.col("n_tail")).alias("n_known"), F.lit(N).cast("long").alias("train_tokens"),
+        "id", "held_out", "n_tokens", (F.col("n_head") + F.col("n_tail")).alias("n_known"), F.lit(N).cast("long").alias("train_tokens"),
         (F.col("head_sum") + F.col("tail_sum") - F.col("n_tokens") * F.lit(float(np.log10(N + V + 1)))).alias("base_score"),
         (F.col("lm") + F.col("rare_sum") + F.col("tail_sum") - F.col("n_rare") * F.lit(float(np.log10(n_rare + v_rare + 1)))).alias("score"),
     )

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ceil_div, materialize, strings
+from .common import ceil_div, materialize, scratch, strings
 
 END_ID = 2
 CAPACITY = 1024
@@ -178,20 +178,21 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
         return run
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    state = materialize(rows.mapInArrow(first, BINS))
-    done, level, parts = state.filter("done"), 0, max(1, rows.rdd.getNumPartitions())
-    left = state.filter("NOT done")
-    n_left, before = left.count(), None
-    while n_left and (parts > 1 or level == 0):
-        level += 1
-        parts = max(ceil_div(parts, fan_in), ceil_div(n_left, rows_per_task))
-        state = materialize(left.repartition(parts, "sequence_id").mapInArrow(again(level), BINS))
-        done, left = done.union(state.filter("done")), state.filter("NOT done")
-        before, n_left = n_left, left.count()
-        if n_left > 0.98 * before and parts == ceil_div(before, rows_per_task):
-            break  # what is left doesn't fit together
-    bins = done.union(left)
-    placed = bins.select("sequence_id", F.expr("""
-        transform(pieces, (p, i) -> named_struct('p', p, 'offset', aggregate(slice(pieces, 1, i), 0L, (s, x) -> s + x.length)))
-    """).alias("placed"))
-    return placed.select("sequence_id", F.explode("placed").alias("x")).select("x.p.*", "sequence_id", "x.offset")
+    with scratch(df.sparkSession):
+        state = materialize(rows.mapInArrow(first, BINS))
+        done, level, parts = state.filter("done"), 0, max(1, rows.rdd.getNumPartitions())
+        left = state.filter("NOT done")
+        n_left, before = left.count(), None
+        while n_left and (parts > 1 or level == 0):
+            level += 1
+            parts = max(ceil_div(parts, fan_in), ceil_div(n_left, rows_per_task))
+            state = materialize(left.repartition(parts, "sequence_id").mapInArrow(again(level), BINS))
+            done, left = done.union(state.filter("done")), state.filter("NOT done")
+            before, n_left = n_left, left.count()
+            if n_left > 0.98 * before and parts == ceil_div(before, rows_per_task):
+                break  # what is left doesn't fit together
+        bins = done.union(left)
+        placed = bins.select("sequence_id", F.expr("""
+            transform(pieces, (p, i) -> named_struct('p', p, 'offset', aggregate(slice(pieces, 1, i), 0L, (s, x) -> s + x.length)))
+        """).alias("placed"))
+        return materialize(placed.select("sequence_id", F.explode("placed").alias("x")).select("x.p.*", "sequence_id", "x.offset"), keep=True)
