@@ -39,6 +39,17 @@ def test_stages(spark, tables):
     assert "abcdefgh12345" not in safe[1002] and safe[4] == dict(brute(docs))[4]
 
 
+def test_rows_of_one_id_go_by_their_texts(spark, tables):
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"u{rng.randrange(10**6)}" for _ in range(n))
+    a, b, d = text(60), text(60), text(60)
+    rows = [(5, a), (5, a), (5, b), (6, b + " more"), (7, d), (None, d), (None, text(9)), (8, None), (8, ""), (8, "  ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, key string")
+    kept = sorted(((-1 if i is None else i), t) for i, t in brute(c.near_duplicates(spark, docs, tables[0])))
+    assert kept == sorted([(5, a), (5, b), (7, d), (-1, rows[6][1]), (8, ""), (8, ""), (8, "  ")])
+    assert c.near_duplicates(spark, docs.filter("false"), tables[0]).count() == 0
+
+
 def test_run(spark, tables):
     out = c.run(spark, tables[0])
     assert out.groupBy("sequence_id").sum("length").filter("`sum(length)` > 1024").count() == 0
