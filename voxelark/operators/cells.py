@@ -97,7 +97,7 @@ def offsets(low: int, high: int, axes: Sequence[str] = AXES) -> Column:
 def neighbours(df: DataFrame, low: int = -1, high: int = 1, axes: Sequence[str] = AXES) -> DataFrame:
     """Each row for every cell of a window about its own, inside the cube, as columns ``n_<axis>``; for an equi-join, never a range join."""
     out = df.withColumn("_o", F.explode(offsets(low, high, axes))).withColumns({f"n_{a}": F.col(a) + F.col(f"_o.{a}") for a in axes})
-    size = F.shiftleft(F.lit(1), F.col("d")) if False else F.expr("shiftleft(1, d)")
+    size = F.expr("shiftleft(1, d)")
     return out.filter(reduce(lambda a, b: a & b, ((F.col(f"n_{a}") >= 0) & (F.col(f"n_{a}") < size) for a in axes))).drop("_o")
 
 
@@ -168,6 +168,78 @@ def refine(spark, depth: int, wants: Callable[[DataFrame], Column], axes: Sequen
     return reduce(DataFrame.union, out)
 
 
+def grow(tree: DataFrame, wants: Callable[[], Column], axes: Sequence[str] = AXES) -> DataFrame:
+    """The tree with all children of every cell one of whose children is wanted; ``wants`` is asked about the children's key columns."""
+    wanted = parents(children(tree.select("d", *axes), axes).filter(wants()), axes).select("d", *axes).distinct()
+    return tree_union(tree, children(wanted, axes), axes)
+
+
+def pruned(tree: DataFrame, prune: Column, axes: Sequence[str] = AXES) -> DataFrame:
+    """The tree without what is below a cell for which ``prune`` holds; the cell itself stays."""
+    cut = tree.filter(prune).select("d", *axes)
+    below = ancestors(tree.select("d", *axes, *(F.col(a).alias(f"_{a}") for a in axes), F.col("d").alias("_d")), axes=axes).filter("d < _d")
+    gone = below.join(cut, ["d", *axes], "left_semi").select(F.col("_d").alias("d"), *(F.col(f"_{a}").alias(a) for a in axes)).distinct()
+    return tree.join(gone, ["d", *axes], "left_anti")
+
+
+def subtree(tree: DataFrame, root: Sequence[int], keep: Column, axes: Sequence[str] = AXES) -> DataFrame:
+    """Cells at or below ``root`` (depth, offsets) for which ``keep`` holds, with those between; no cell without its parent."""
+    d, *at = root
+    inside = reduce(lambda p, q: p & q, (F.expr(f"shiftright({a}, greatest(d - {d}, 0))") == x for a, x in zip(axes, at, strict=True)))
+    kept = tree.filter((F.col("d") >= d) & inside & keep)
+    return ancestors(kept.select("d", *axes), d, axes).distinct()
+
+
+def neighbour_leaves(cells: DataFrame, tree: DataFrame, axes: Sequence[str] = AXES) -> DataFrame:
+    """Rows of ``cells`` with the leaves of ``tree`` (l_d, l_<axis>), at their depth or coarser, that touch their window of 3; each leaf once."""
+    leaf = leaves(tree, axes).select("d", *axes, F.lit(True).alias("_leaf"))
+    key = [*("_d", *(f"_{a}" for a in axes))]
+    near = neighbours(cells.select("d", *axes, F.col("d").alias("_d"), *(F.col(a).alias(f"_{a}") for a in axes)), -1, 1, axes)
+    near = near.select("d", *(F.col(f"n_{a}").alias(a) for a in axes), *key).distinct()
+    found = ancestors(near, axes=axes).distinct().join(leaf, ["d", *axes])
+    return found.select(F.col("_d").alias("d"), *(F.col(f"_{a}").alias(a) for a in axes), F.col("d").alias("l_d"), *(F.col(a).alias(f"l_{a}") for a in axes))
+
+
+def node_map(client: DataFrame, server: DataFrame, axes: Sequence[str] = AXES) -> DataFrame:
+    """Rows (client, server): both trees' numbers of the cells that both have."""
+    a, b = (numbered(t.select("d", *axes)).withColumnRenamed("sid", n) for t, n in ((client, "client"), (server, "server")))
+    return a.join(b, ["d", *axes]).select("client", "server")
+
+
+def validity(tree: DataFrame, degree: int, axes: Sequence[str] = AXES) -> DataFrame:
+    """The tree with flags: ``space`` for cells of the cube, ``ghost`` for families without an active cell, ``fem`` for bases in bounds.
+
+    ``tree`` has a boolean column active. A basis of odd degree sits at the cell's lower corner, one of even
+    degree at its centre; in bounds are those from 0 to 2^d (odd) or to 2^d - 1 (even).
+    """
+    size = F.expr("shiftleft(1, d)")
+    inside = lambda last: reduce(lambda p, q: p & q, ((F.col(a) >= 0) & (F.col(a) <= last) for a in axes))
+    family = [F.shiftright(a, 1) for a in axes]
+    alive = tree.filter("active").select((F.col("d")), *(f.alias(f"_{a}") for f, a in zip(family, axes, strict=True))).distinct().withColumn("_alive", F.lit(True))
+    rows = tree.withColumns({f"_{a}": f for f, a in zip(family, axes, strict=True)}).join(alive, ["d", *(f"_{a}" for a in axes)], "left")
+    ghost = F.col("_alive").isNull()
+    return rows.select("d", *axes, "active", ghost.alias("ghost"), (~ghost & inside(size - 1)).alias("space"), (~ghost & inside(size if degree % 2 else size - 1)).alias("fem"))
+
+
+def interior_span(degree: int) -> tuple[Column, Column]:
+    """(begin, end) of the offsets whose bases lie wholly inside the cube, as columns of d; odd degrees sit on corners."""
+    left, right = ((degree + 1) // 2, (degree + 1) // 2) if degree % 2 else (degree // 2, degree // 2 + 1)
+    return F.lit(left), F.expr("shiftleft(1, d)") - right + 1
+
+
+def interiorly_supported(degree: int, axes: Sequence[str] = AXES) -> Column:
+    """Whether a basis' support doesn't leave the cube."""
+    begin, end = interior_span(degree)
+    return reduce(lambda p, q: p & q, ((F.col(a) >= begin) & (F.col(a) < end) for a in axes))
+
+
+def support_meets(axis: str, shared: int, first: int, last: int, degree: int) -> Column:
+    """Whether the support of a basis at depth ``shared`` or above meets the slices from ``first`` to before ``last`` of depth ``shared``."""
+    low, high = (-(degree // 2), degree // 2 + 1) if degree % 2 == 0 else (-((degree + 1) // 2), (degree + 1) // 2)
+    scale = F.expr(f"shiftleft(1, {shared} - d)")
+    return (F.col("d") <= shared) & ((F.col(axis) + low) * scale < last) & ((F.col(axis) + high) * scale > first)
+
+
 def numbered(cells: DataFrame) -> DataFrame:
     """Dense numbers ``sid`` in order of (d, k, j, i), from sorted ranges."""
     from .points import row_numbers

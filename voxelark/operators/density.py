@@ -54,6 +54,17 @@ def depth_and_weight(spn: DataFrame, key: str, target: float, kernel_depth: int,
     return pick.select(key, depth.alias("depth"), (F.pow(F.pow(F.lit(2.0), -F.col("d")), F.lit(float(dim - co_dim))) / F.col("spn")).alias("weight"))
 
 
+def deep_enough(dw: DataFrame, cut_off: float) -> DataFrame:
+    """Samples whose estimated depth is ``cut_off`` at least; others take no part."""
+    return dw.filter(F.col("depth") >= cut_off)
+
+
+def mean_depth_and_weight(dw: DataFrame, sample: DataFrame, key: str) -> DataFrame:
+    """One row (depth, weight): means over samples, each by its own weight."""
+    rows = dw.withColumnRenamed("weight", "_share").join(sample.select(key, F.col("weight").alias("_w")), key)
+    return rows.agg((F.sum(F.col("depth") * F.col("_w")) / F.sum("_w")).alias("depth"), (F.sum(F.col("_share") * F.col("_w")) / F.sum("_w")).alias("weight"))
+
+
 def vector_field(points: DataFrame, dw: DataFrame, key: str, normal: Sequence[str], least: int, most: int, degree: int = 2) -> DataFrame:
     """Rows (d, i, j, k, vx, vy, vz): normals splatted wholly at the ceiling of their depth, weighted by the cell's volume."""
     d = F.greatest(F.least(F.ceil("depth").cast("int"), F.lit(most)), F.lit(least))

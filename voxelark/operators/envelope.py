@@ -48,11 +48,12 @@ def simplex_cells(triangles: DataFrame, depth: int) -> DataFrame:
     return rows.filter(meets).select("fid", F.lit(depth).alias("d"), *AXES)
 
 
-def designators(boundary: DataFrame, depth: int, most: int = 10_000) -> DataFrame:
+def designators(boundary: DataFrame, depth: int, most: int | None = None) -> DataFrame:
     """Rows (d, i, j, k, geometry) of all cells to ``depth``: boundary, interior or exterior.
 
     The outside is flooded from the cube's faces through cells without surface, a step of face
     neighbours a round; what it doesn't reach is inside. Coarser cells follow from their children.
+    No path is longer than the cells there are; a flood cut off by a smaller ``most`` is an error.
     """
     spark = boundary.sparkSession
     n = 1 << depth
@@ -60,13 +61,15 @@ def designators(boundary: DataFrame, depth: int, most: int = 10_000) -> DataFram
     free = written(cells.join(boundary, ["d", *AXES], "left_anti"))
     edge = reduce(lambda x, y: x | y, ((F.col(a) == 0) | (F.col(a) == n - 1) for a in AXES))
     out = front = written(free.filter(edge))
-    for _ in range(most):
+    for _ in range(most or n**3 + 1):
         steps = neighbours(front).filter(reduce(lambda x, y: x + y, (F.abs(F.col(f"n_{a}") - F.col(a)) for a in AXES)) == 1)
         new = steps.select("d", *(F.col(f"n_{a}").alias(a) for a in AXES)).distinct()
         front = written(new.join(free, ["d", *AXES], "left_semi").join(out, ["d", *AXES], "left_anti"))
         if front.isEmpty():
             break
         out = written(out.union(front))
+    else:
+        raise RuntimeError("the flood was cut off before it had reached all of the outside")
     inside = free.join(out, ["d", *AXES], "left_anti")
     level = written(boundary.select("d", *AXES, F.lit("boundary").alias("geometry")).union(out.select("d", *AXES, F.lit("exterior").alias("geometry"))).union(inside.select("d", *AXES, F.lit("interior").alias("geometry"))))
     whole = level

@@ -17,12 +17,12 @@ from operator import mul
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.splines import hat_mass, hat_stiffness
 from ..storage import written
-from .cells import mean, neighbours, offsets, spline_weights, with_cell
+from .cells import deepest_cell, leaves, mean, neighbours, offsets, spline_weights, with_cell
 
 UNIT = ("u", "v", "w")
 AXES = ("i", "j", "k")
@@ -316,6 +316,109 @@ def integral(field: DataFrame, axes: Sequence[str]) -> float:
     return field.agg(F.sum(F.col("v") * w)).first()[0] or 0.0
 
 
+def box_average(field: DataFrame, axes: Sequence[str], low: Sequence[float], high: Sequence[float]) -> DataFrame:
+    """One row (mean): the field's mean over a box, from each hat's exact integral along each axis."""
+    def upto(a: str, x: float) -> Column:
+        """Integral of an axis' hat from minus infinity to ``x``."""
+        t = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.lit(x) * F.pow(F.lit(2.0), F.col("d")) - F.col(a)))
+        return F.when(t < 0, (1 + t) * (1 + t) / 2).otherwise(1 - (1 - t) * (1 - t) / 2)
+
+    h = F.pow(F.lit(2.0), -F.col("d"))
+    w = reduce(mul, ((upto(a, hi) - upto(a, lo)) * h for a, lo, hi in zip(axes, low, high, strict=True)))
+    volume = float(np.prod(np.subtract(high, low)))
+    return field.agg((F.sum(F.col("v") * w) / volume).alias("mean"))
+
+
+def finer_level(x: DataFrame, d: int, axes: Sequence[str]) -> DataFrame:
+    """A level's coefficients (axes, v) at depth ``d`` as those of depth ``d + 1``: linear interpolation."""
+    last = 1 << (d + 1)
+    y = x.select(*((F.col(a) * 2).alias(a) for a in axes), "v")
+    for a in axes:
+        spread = F.array(*(F.struct(F.lit(o).alias("o"), F.lit(s).alias("s")) for o, s in ((-1, 0.5), (0, 1.0), (1, 0.5))))
+        y = y.withColumn("_t", F.explode(spread)).withColumn(a, F.col(a) + F.col("_t.o")).withColumn("v", F.col("v") * F.col("_t.s")).drop("_t").filter(F.col(a).between(0, last))
+    return y.groupBy(*axes).agg(F.sum("v").alias("v"))
+
+
+def cumulative(field: DataFrame, base: int, depth: int, axes: Sequence[str]) -> DataFrame:
+    """The whole field as coefficients (axes, v) of depth ``depth`` alone: levels carried on and added, coarse to fine."""
+    level = field.filter(F.col("d") == base).select(*axes, "v")
+    for d in range(base, depth):
+        level = finer_level(level, d, axes).unionByName(field.filter(F.col("d") == d + 1).select(*axes, "v")).groupBy(*axes).agg(F.sum("v").alias("v"))
+    return level
+
+
+def inner_product(a: DataFrame, b: DataFrame, base: int, depth: int, axes: Sequence[str], mass: float = 1.0, lap: float = 0.0) -> DataFrame:
+    """One row (product) of two fields: mass times the integral of their product plus lap times that of their gradients'. Across levels, by way of the finest."""
+    x, y = (cumulative(f, base, depth, axes) for f in (a, b))
+    return apply_system(x, depth, mass, lap, axes).join(y.withColumnRenamed("v", "_y"), list(axes)).agg(F.sum(F.col("v") * F.col("_y")).alias("product"))
+
+
+def point_product(samples: DataFrame, a: DataFrame, b: DataFrame, key: str, base: int, depth: int, dim: int) -> DataFrame:
+    """One row (product): the sum over samples (key, unit, weight) of weight times both fields' values."""
+    x, y = (evaluate(samples, f, key, base, depth, dim).withColumnRenamed("value", n) for f, n in ((a, "_a"), (b, "_b")))
+    return samples.select(key, "weight").join(x, key).join(y, key).agg(F.sum(F.col("weight") * F.col("_a") * F.col("_b")).alias("product"))
+
+
+def leaf_values(field: DataFrame, tree: DataFrame, base: int, depth: int, axes: Sequence[str]) -> DataFrame:
+    """Rows (d, axes, value): the field at the centres of a tree's leaves."""
+    leaf = leaves(tree, axes).select("d", *axes).withColumn("_key", F.struct("d", *axes))
+    at = leaf.select("_key", *(((F.col(a) + 0.5) / F.pow(F.lit(2.0), F.col("d"))).alias(u) for a, u in zip(axes, UNIT, strict=False)))
+    return evaluate(at, field, "_key", base, depth, len(axes)).select("_key.*", "value")
+
+
+def support_weights(tree: DataFrame, axes: Sequence[str]) -> DataFrame:
+    """Rows (d, axes, weight): the share of each corner's hat that lies over cells of the tree at its own depth."""
+    c = tree.select("d", *axes, F.explode(offsets(0, 1, axes)).alias("o")).select("d", *((F.col(a) + F.col(f"o.{a}")).alias(a) for a in axes))
+    edge = reduce(mul, (F.when((F.col(a) == 0) | (F.col(a) == F.expr("shiftleft(1, d)")), 1.0).otherwise(2.0) for a in axes))
+    return c.groupBy("d", *axes).agg(F.count(F.lit(1)).alias("n")).select("d", *axes, (F.col("n") / edge).alias("weight"))
+
+
+def sample_grid(points: DataFrame, grid: DataFrame, key: str, value: str = "val", axes: Sequence[str] = ("i", "j"), at: Sequence[str] = ("x", "y")) -> DataFrame:
+    """Rows (key, value, weight): multilinear values of a grid at points in its own units.
+
+    Corners outside the grid are left out of the value and of the weight; a value read at the border is
+    their quotient, as callers want it. Points without any corner have no row.
+    """
+    rows = points.select(key, *(F.floor(c).cast("int").alias(a) for c, a in zip(at, axes, strict=True)), *((F.col(c) - F.floor(c)).alias(f"_{a}") for c, a in zip(at, axes, strict=True)))
+    rows = rows.withColumn("o", F.explode(offsets(0, 1, axes)))
+    w = reduce(mul, (F.when(F.col(f"o.{a}") == 1, F.col(f"_{a}")).otherwise(1 - F.col(f"_{a}")) for a in axes))
+    rows = rows.select(key, *((F.col(a) + F.col(f"o.{a}")).alias(a) for a in axes), w.alias("_w"))
+    return rows.join(grid, list(axes)).groupBy(key).agg(F.sum(F.col(value) * F.col("_w")).alias(value), F.sum("_w").alias("weight"))
+
+
+def grid_statistics(grid: DataFrame, value: str = "val") -> DataFrame:
+    """One row (mean, deviation), of the whole population."""
+    return grid.agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"))
+
+
+def grey(grid: DataFrame, value: str = "val") -> DataFrame:
+    """``grid`` with ``grey``, 0 to 255: values cut off at two deviations from the mean; all the middle if there is no deviation."""
+    s = grid_statistics(grid, value)  # one row
+    c = F.coalesce(F.try_divide(F.col(value) - F.col("mean"), 2 * F.col("deviation")), F.lit(0.0))
+    return grid.crossJoin(F.broadcast(s)).withColumn("grey", (F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)) + 1) / 2 * 255).drop("mean", "deviation")
+
+
+def cell_borders(tree: DataFrame, depth: int, axes: Sequence[str] = ("i", "j")) -> DataFrame:
+    """Rows (axes, border) of the grid of depth ``depth``: whether the next place along some axis lies in another leaf."""
+    rows = full_level(tree.sparkSession, depth, axes).withColumn("_key", F.struct(*axes))
+    at = rows.select("_key", *(((F.col(a) + 0.5) / float(1 << depth)).alias(u) for a, u in zip(axes, UNIT, strict=False)))
+    found = deepest_cell(at, tree, "_key", depth, UNIT[: len(axes)], axes).select("_key", F.struct("d", *axes).alias("_c"))
+    leaf = rows.join(found, "_key").select(*axes, "_c")
+    border = F.lit(False)
+    out = leaf
+    for a in axes:
+        near = leaf.select(*((F.col(b) - 1 if b == a else F.col(b)).alias(b) for b in axes), F.col("_c").alias(f"_{a}"))
+        out = out.join(near, list(axes), "left")
+        border = border | F.coalesce(F.col("_c") != F.col(f"_{a}"), F.lit(False))
+    return out.select(*axes, border.alias("border"))
+
+
+def full_level(spark, depth: int, axes: Sequence[str]) -> DataFrame:
+    """All cells of one depth."""
+    n = 1 << depth
+    return spark.range(n ** len(axes)).select(F.lit(depth).alias("d"), *(F.floor(F.col("id") / n**k % n).cast("int").alias(a) for k, a in enumerate(axes)))
+
+
 def trim_to(field: DataFrame, depth: int) -> DataFrame:
     return field.filter(F.col("d") <= depth)
 

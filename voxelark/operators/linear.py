@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -62,6 +62,20 @@ def residual(m: DataFrame, x: DataFrame, b: DataFrame) -> DataFrame:
     return add(b, scaled(spmv(m, x), -1.0))
 
 
+def color(axes: Sequence[str], modulus: int) -> Column:
+    """Colour of a place: rows of a colour are ``modulus`` apart along some axis, so their bases don't meet. Last axis first, as places are ordered."""
+    out = F.lit(0)
+    for a in reversed(list(axes)):
+        out = out * modulus + F.pmod(F.col(a), F.lit(modulus))
+    return out
+
+
+def residual_norms(m: DataFrame, x: DataFrame, b: DataFrame, level: Column) -> DataFrame:
+    """Rows (level, before, after): norms of the right side and of what a solution leaves over, by level."""
+    rows = add(b, scaled(b, 0.0)).select("r", F.col("v").alias("b")).join(residual(m, x, b), "r")
+    return rows.groupBy(level.alias("level")).agg(F.sqrt(F.sum(F.col("b") * F.col("b"))).alias("before"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("after"))
+
+
 def jacobi(m: DataFrame, b: DataFrame, x: DataFrame, omega: float = 1.0) -> DataFrame:
     """One sweep x + omega * (b - m x) / diag(m)."""
     d = diagonal(m).withColumnRenamed("v", "d")

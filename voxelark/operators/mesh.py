@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import triangle_area
@@ -49,6 +49,17 @@ def centroids(faces: DataFrame, vertices: DataFrame, values: Sequence[str] = XYZ
     return corners(faces).join(vertices, "vid").groupBy("fid").agg(*(F.avg(a).alias(a) for a in values))
 
 
+def faces_inside(faces: DataFrame, vertices: DataFrame, keep: Callable[[list[Column]], Column]) -> DataFrame:
+    """Faces whose mean corner passes ``keep``, a box or half-spaces; faces without corners don't."""
+    mid = centroids(faces, vertices)
+    return faces.join(mid.filter(keep([F.col(a) for a in XYZ])).select("fid"), "fid", "left_semi")
+
+
+def value_range(vertices: DataFrame, value: str = "value") -> DataFrame:
+    """One row (low, high); null without vertices."""
+    return vertices.agg(F.min(value).alias("low"), F.max(value).alias("high"))
+
+
 def used_vertices(vertices: DataFrame, faces: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Vertices that faces use, renumbered densely in order, and the faces with the new numbers."""
     kept = row_numbers(vertices.join(corners(faces).select("vid").distinct(), "vid", "left_semi"), ["vid"], "new")
@@ -156,8 +167,8 @@ def trim(vertices: DataFrame, faces: DataFrame, level: float, value: str = "valu
 
     parts = written(whole.mapInPandas(run, "fid long, part int, over boolean, split boolean, refs array<struct<a:long,b:long>>"))
     cuts = parts.select(F.explode("refs").alias("r")).select("r.*").filter("a <> b").distinct()
-    last = vertices.agg(F.max("vid")).first()[0] or 0
-    cuts = written(row_numbers(cuts, ["a", "b"], "vid", start=last + 1))
+    last = vertices.agg(F.max("vid")).first()[0]
+    cuts = written(row_numbers(cuts, ["a", "b"], "vid", start=0 if last is None else last + 1))
     columns = [x for x in vertices.columns if x != "vid"]
     p, r = (vertices.select(F.col("vid").alias(k), *(F.col(x).alias(f"{k}_{x}") for x in columns)) for k in "ab")
     t = F.when(F.col(f"a_{value}") == F.col(f"b_{value}"), 0.5).otherwise((F.col(f"a_{value}") - level) / (F.col(f"a_{value}") - F.col(f"b_{value}")))
@@ -221,12 +232,13 @@ def flip(faces: DataFrame) -> DataFrame:
 
 def concatenate(parts: Sequence[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
     """Meshes one after the other, ids moved past those before."""
+    after = lambda t, c: 0 if (most := t.agg(F.max(c)).first()[0]) is None else most + 1
     vertices, faces, at, f_at = [], [], 0, 0
     for v, f in parts:
         vertices.append(v.withColumn("vid", F.col("vid") + at))
-        faces.append(f.withColumn("ids", F.transform("ids", lambda x, at=at: x + at)).withColumn("fid", F.col("fid") + f_at))
-        at += (v.agg(F.max("vid")).first()[0] or -1) + 1
-        f_at += (f.agg(F.max("fid")).first()[0] or -1) + 1
+        faces.append(f.withColumn("ids", F.expr(f"transform(ids, x -> x + {at}L)")).withColumn("fid", F.col("fid") + f_at))
+        at += after(v, "vid")
+        f_at += after(f, "fid")
     v, f = vertices[0], faces[0]
     for x, y in zip(vertices[1:], faces[1:], strict=True):
         v, f = v.unionByName(x), f.unionByName(y)

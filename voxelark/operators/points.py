@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -126,6 +127,54 @@ def slab(u: Column, slabs: int) -> Column:
     return F.floor(u * slabs).cast("int")
 
 
+def in_slabs(df: DataFrame, u: str, slabs: int, first: int, last: int) -> DataFrame:
+    """Rows with ``slab``, and ``inside`` whether it is one of ``first`` to before ``last``; rows out of range are told, not moved."""
+    rows = df.withColumn("slab", slab(F.col(u), slabs))
+    return rows.withColumn("inside", (F.col("slab") >= first) & (F.col("slab") < last))
+
+
+def partition_energy(counts: Sequence[int], ends: Sequence[int]) -> int:
+    """Sum of the squared sizes of contiguous ranges."""
+    return sum(int(sum(counts[a:b])) ** 2 for a, b in zip([0, *ends], ends))  # noqa: B905
+
+
+def one_after_another(parts: Sequence[DataFrame]) -> DataFrame:
+    """Streams as one table, with ``stream`` and dense numbers: those of a stream (in order of ``idx``) after those before."""
+    rows = reduce(DataFrame.unionByName, (p.withColumn("stream", F.lit(n)) for n, p in enumerate(parts)))
+    return row_numbers(rows, ["stream", "idx"], "place")
+
+
+def interleaved(parts: Sequence[DataFrame]) -> DataFrame:
+    """Indexed streams merged by ``idx``: ranges of the index, each sorted on its own."""
+    return reduce(DataFrame.unionByName, parts).repartitionByRange("idx").sortWithinPartitions("idx")
+
+
+def merged_slabs(clients: Sequence[DataFrame]) -> DataFrame:
+    """Slab fragments of all clients, a slab's rows together."""
+    return reduce(DataFrame.unionByName, clients).repartition("slab").sortWithinPartitions("slab")
+
+
+def grid_index(axes: Sequence[str], resolution: Sequence[int]) -> Column:
+    """Linear index of a grid place, first axis fastest."""
+    index = F.lit(0).cast("long")
+    for a, n in zip(reversed(list(axes)), reversed(list(resolution)), strict=True):
+        index = index * n + F.col(a)
+    return index
+
+
+def grid_coordinates(index: Column, axes: Sequence[str], resolution: Sequence[int]) -> list[Column]:
+    out = []
+    for a, n in zip(axes, resolution, strict=True):
+        out.append((index % n).cast("int").alias(a))
+        index = F.floor(index / n)
+    return out
+
+
+def depth_of_width(scale: Column | float, width: Column | float) -> Column:
+    """The least depth at which a cell of a cube of side ``scale`` is no wider than ``width``."""
+    return F.ceil(F.greatest(F.lit(0.0), F.log2(F.lit(scale) / width))).cast("int")
+
+
 def balanced_ranges(counts: Sequence[int], parts: int, by_max: bool = False) -> list[int]:
     """Ends of ``parts`` contiguous ranges of slabs with the least sum of squared counts (or the least maximum).
 

@@ -50,14 +50,14 @@ class Implicit:
         for name in ("field", "density", "aux"):
             if (t := getattr(self, name)) is not None:
                 t.write.mode("overwrite").parquet(f"{path}/{name}")
-        head = [(self.base, self.depth, self.dim, self.level, list(self.alignment.origin), list(self.alignment.scale), list(self.aux_names))]
-        spark.createDataFrame(head, "base int, depth int, dim int, level double, origin array<double>, scale array<double>, aux array<string>").write.mode("overwrite").parquet(f"{path}/head")
+        head = [(self.base, self.depth, self.dim, self.level, list(self.alignment.origin), list(self.alignment.scale), list(self.aux_names), self.density is not None)]
+        spark.createDataFrame(head, "base int, depth int, dim int, level double, origin array<double>, scale array<double>, aux array<string>, dense boolean").write.mode("overwrite").parquet(f"{path}/head")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Implicit:
         h = spark.read.parquet(f"{path}/head").first()
-        aux = spark.read.parquet(f"{path}/aux") if h["aux"] else None
-        return Implicit(spark.read.parquet(f"{path}/field"), h["base"], h["depth"], Alignment(tuple(h["origin"]), tuple(h["scale"])), h["level"], h["dim"], None, aux, tuple(h["aux"]))
+        read = lambda name, there: spark.read.parquet(f"{path}/{name}") if there else None
+        return Implicit(read("field", True), h["base"], h["depth"], Alignment(tuple(h["origin"]), tuple(h["scale"])), h["level"], h["dim"], read("density", h["dense"]), read("aux", h["aux"]), tuple(h["aux"]))
 
     def surface(self, out_depth: int | None = None, triangles: bool = True) -> tuple[DataFrame, DataFrame]:
         """Vertices (vid, x, y, z, nx, ny, nz) and faces of the level set, in the data's coordinates."""
@@ -197,7 +197,7 @@ def label_seams(pixels: DataFrame) -> DataFrame:
     return out
 
 
-def stitch(pixels: DataFrame, iterations: int = 200) -> DataFrame:
+def stitch(pixels: DataFrame, iterations: int = 10_000) -> DataFrame:
     """Pixels (row, col, label, val) with an offset field added that takes the steps at seams out and keeps all other differences.
 
     The offset solves a Poisson problem on the pixel grid whose differences are minus the seams'
@@ -280,6 +280,20 @@ def trim_surface(vertices: DataFrame, faces: DataFrame, level: float, value: str
     return mesh.used_vertices(v, kept.select("fid", "ids"))
 
 
+def output_points(points: DataFrame, alignment: Alignment, gradient: bool = True, density: str | None = None, aux: tuple[str, ...] = (), grid_depth: int | None = None) -> DataFrame:
+    """Points of a level set (vid, u, v, w, gradient gu, gv, gw) as they are put out: x, y, z, and what is asked for.
+
+    ``gradient``: nx, ny, nz in the data's own space; ``density``: that column as value; ``aux``: columns that pass;
+    ``grid_depth``: coordinates in cells of that depth in place of the data's own.
+    """
+    scale = [float(1 << grid_depth)] * 3 if grid_depth is not None else list(alignment.scale)
+    origin = [0.0] * 3 if grid_depth is not None else list(alignment.origin)
+    out = [(F.col(u) * s + o).alias(a) for u, s, o, a in zip(UNIT, scale, origin, "xyz", strict=True)]
+    if gradient:
+        out += [(F.col(f"g{u}") / s).alias(f"n{a}") for u, s, a in zip(UNIT, scale, "xyz", strict=True)]
+    return points.select("vid", *out, *([F.col(density).alias("value")] if density else []), *aux)
+
+
 def scale_normals(points: DataFrame, columns: tuple[str, ...], exponents: tuple[float, ...]) -> DataFrame:
     from ..functions.geometry import confidence
 

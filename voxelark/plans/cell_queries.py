@@ -202,24 +202,9 @@ def simplex_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells_of(t, 4)
 
 
-@query(f"""WITH {_C4}, s AS (SELECT DISTINCT i, j, k FROM c WHERE x > 40),
-f AS (SELECT DISTINCT CAST(dd AS INTEGER) d, i >> (4 - dd) i, j >> (4 - dd) j, k >> (4 - dd) k FROM s, (SELECT range AS dd FROM range(5)))
-SELECT d, count(*) n FROM f GROUP BY d""")
-def support_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells with data below them, by depth."""
-    s = _cells(spark, sf_dir, 4).filter("x > 40").select("d", "i", "j", "k").distinct()
-    return ops.ancestors(s).distinct().groupBy("d").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"""WITH {_C4}, s AS (SELECT i, j, k, bool_or(x > 45) h FROM c GROUP BY ALL), fam AS (SELECT DISTINCT i >> 1 i, j >> 1 j, k >> 1 k FROM s WHERE h)
 SELECT count(*) n FROM s JOIN fam ON s.i >> 1 = fam.i AND s.j >> 1 = fam.j AND s.k >> 1 = fam.k""")
 def clipped_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells at depth 4 left when families without data below depth 3 go."""
     s = _cells(spark, sf_dir, 4).groupBy("d", "i", "j", "k").agg(F.bool_or(F.col("x") > 45).alias("h"))
     return ops.clip(s, "h", 3).filter("d = 4").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"""WITH {_C4} SELECT i >> 1 AS ci, count(DISTINCT j) n FROM c WHERE k = 6 GROUP BY 1""")
-def axis_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A slice across the last axis, coarsened along the first."""
-    return _cells(spark, sf_dir, 4).filter("k = 6").groupBy(F.expr("shiftright(i, 1)").alias("ci")).agg(F.count_distinct("j").alias("n"))

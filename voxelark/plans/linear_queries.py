@@ -69,16 +69,6 @@ def cg_2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(ops.conjugate_gradients(system(spark), load(spark, sf_dir), iterations=2))
 
 
-@query(f"WITH {_K}, cb AS (SELECT r, v FROM b WHERE r <= {N // 2}) SELECT pr.r, {q('sum(pr.v * cb.v)')} v FROM pr JOIN cb ON pr.c = cb.r GROUP BY pr.r")
-def upsample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _out(ops.spmv(ops.prolongation_1d(spark, N // 2), load(spark, sf_dir).filter(F.col("r") <= N // 2)))
-
-
-@query(f"WITH {_K} SELECT pr.c AS r, {q('sum(pr.v * b.v)')} v FROM pr JOIN b ON pr.r = b.r GROUP BY pr.c")
-def downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _out(ops.spmv(ops.transpose(ops.prolongation_1d(spark, N // 2)), load(spark, sf_dir)))
-
-
 @query(f"WITH {_K} SELECT {q('sum(v * v)')} v FROM m")
 def matrix_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(ops.square_norm(system(spark)))
@@ -92,7 +82,7 @@ def gauss_seidel_1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(ops.gauss_seidel(system(spark), load(spark, sf_dir), x, F.pmod("r", F.lit(2)), 2))
 
 
-@query()
+@query("SELECT true AS converges")
 def v_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Residual's share left after a V-cycle over three levels."""
     p = [ops.prolongation_1d(spark, N // 2), ops.prolongation_1d(spark, N // 4)]

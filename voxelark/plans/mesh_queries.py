@@ -116,17 +116,135 @@ def chunk_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.chunks(p, 10.0, 0.1, ("x", "y")).groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {_V} SELECT CAST(r AS BIGINT) * 0 + CAST(vid % {W} AS BIGINT) + ((vid // {W}) * {W}) AS vid, {q('val')} AS value FROM v, (SELECT 0 r)""")
-def merged_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two overlapping halves of the grid's vertices merged back into the whole."""
+def _two_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two overlapping halves of the grid, each with its own vertex numbers, merged back into the whole."""
     v, f = mesh(spark, sf_dir)
     half = W * W // 2
     a = v.filter(F.col("vid") < half + W).withColumn("part", F.lit(0))
     b = v.filter(F.col("vid") >= half).withColumn("vid", F.col("vid") - half).withColumn("part", F.lit(1))
-    whole, _ = ops.merge_shared(a.union(b), f.withColumn("part", F.lit(0)), [W])
-    return whole.select("vid", quant(F.col("value")).alias("value"))
+    low = F.array_min("ids") >= half
+    faces = f.filter(~low).withColumn("part", F.lit(0)).union(f.filter(low).withColumn("ids", F.transform("ids", lambda x: x - half)).withColumn("part", F.lit(1)))
+    return ops.merge_shared(a.union(b), faces, [W])
+
+
+@query(f"WITH {_V} SELECT vid, {q('val')} AS value FROM v")
+def merged_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _two_parts(spark, sf_dir)[0].select("vid", quant(F.col("value")).alias("value"))
+
+
+@query(f"WITH {_M} SELECT fid, ids[1] a, ids[2] b, ids[3] c, ids[4] d FROM f")
+def merged_part_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _two_parts(spark, sf_dir)[1].select("fid", *(F.col("ids")[n].alias(x) for n, x in enumerate("abcd")))
+
+
+@query(f"""WITH {_M} SELECT fid, list_reverse(ids)[1] AS first, list_reverse(ids)[4] AS last FROM f""")
+def flipped_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.flip(mesh(spark, sf_dir)[1]).select("fid", F.col("ids")[0].alias("first"), F.col("ids")[3].alias("last"))
+
+
+@query(f"WITH {_M} SELECT fid, {q('avg(x)')} x, {q('avg(y)')} y, {q('avg(z)')} z, {q('avg(val)')} AS value FROM h JOIN v ON h.a = v.vid GROUP BY fid")
+def face_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, f = mesh(spark, sf_dir)
+    return ops.centroids(f, v, ("x", "y", "z", "value")).select("fid", *(quant(F.col(c)).alias(c) for c in ("x", "y", "z", "value")))
+
+
+@query(f"WITH {_M} SELECT fid FROM h JOIN v ON h.a = v.vid GROUP BY fid HAVING avg(x) >= 3 AND avg(x) < 15.5 AND avg(y) >= 2.5 AND avg(y) < 20 AND avg(x) + avg(y) - 30 <= 0")
+def faces_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faces whose mean corner lies in a box and in a half-space."""
+    from ..functions.geometry import in_box, in_half_spaces
+
+    v, f = mesh(spark, sf_dir)
+    keep = lambda p: in_box(p[:2], (3, 2.5), (15.5, 20)) & in_half_spaces(p[:2], [(1.0, 1.0, -30.0)])
+    return ops.faces_inside(f, v, keep).select("fid")
+
+
+@query(f"""WITH {_M}, one AS (SELECT [0, 1, 2]::BIGINT[] ids), w AS (SELECT count(*) n FROM v), m AS (SELECT count(*) n FROM f)
+SELECT 0::BIGINT AS fid, 0::BIGINT AS first UNION ALL SELECT fid + 1, ids[1] + 3 FROM f UNION ALL SELECT m.n + 1, w.n + 3 FROM m, w""")
+def concatenated_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A triangle, the grid and the triangle again as one mesh."""
+    v, f = mesh(spark, sf_dir)
+    tv = spark.createDataFrame([(k, float(k), 0.0, 0.0, 0.0) for k in range(3)], v.schema)
+    tf = spark.createDataFrame([(0, [0, 1, 2])], f.schema)
+    return ops.concatenate([(tv, tf), (v, f), (tv, tf)])[1].select("fid", F.col("ids")[0].alias("first"))
+
+
+_AREAS = """m AS (SELECT fid, avg(x) x, avg(y) y, avg(z) z FROM h JOIN v ON h.a = v.vid GROUP BY fid),
+t AS (SELECT h.fid, p.x - m.x ux, p.y - m.y uy, p.z - m.z uz, o.x - m.x wx, o.y - m.y wy, o.z - m.z wz FROM h JOIN m USING (fid) JOIN v p ON h.a = p.vid JOIN v o ON h.b = o.vid),
+ar AS (SELECT fid, sum(sqrt(greatest((ux*ux+uy*uy+uz*uz)*(wx*wx+wy*wy+wz*wz) - pow(ux*wx+uy*wy+uz*wz, 2), 0.0)) / 2) area FROM t GROUP BY fid)"""
+
+
+@query(f"WITH {_ISL}, {_AREAS} SELECT CASE WHEN fid % {W - 1} < 10 THEN 0 ELSE 11 END::BIGINT AS comp, count(*) n, {q('sum(area)', 2)} area FROM ar WHERE fid IN (SELECT fid FROM i) GROUP BY 1")
+def component_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, f = mesh(spark, sf_dir)
+    f = _islands(f)
+    return ops.component_areas(ops.components(f), ops.polygon_areas(f, v)).select("comp", "n", quant(F.col("area"), 2).alias("area"))
+
+
+@query(f"WITH {_M}, {_AREAS} SELECT {q('sum(area)', 2)} area FROM ar")
+def mesh_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, f = mesh(spark, sf_dir)
+    return ops.polygon_areas(f, v).agg(quant(F.sum("area"), 2).alias("area"))
+
+
+def _bands(f: DataFrame) -> DataFrame:
+    """Faces in blocks of eight columns by seven rows, as components."""
+    return f.select("fid", F.expr(f"cast(floor(fid % {W - 1} / 8) * 10 + floor(floor(fid / {W - 1}) / 7) as long)").alias("comp"))
+
+
+@query("SELECT (a * 10 + b)::BIGINT AS comp, (a2 * 10 + b2)::BIGINT AS other FROM (SELECT unnest([0, 1, 2]) a), (SELECT unnest([0, 1, 2, 3]) b), (SELECT unnest([0, 1, 2]) a2), (SELECT unnest([0, 1, 2, 3]) b2) WHERE (a2 = a + 1 AND b2 = b) OR (a2 = a AND b2 = b + 1)")
+def adjacent_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components that share an edge."""
+    f = mesh(spark, sf_dir)[1]
+    return ops.component_links(ops.boundary_half_edges(f, _bands(f)))
+
+
+@query("SELECT * FROM (VALUES (0, 0), (1, 0), (2, 0), (3, 3), (4, 4), (5, 5)) t(comp, head)")
+def merged_small_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest component goes to its neighbours, which become one; one without neighbours stays, however small."""
+    into = ops.merge_small({0: 50.0, 1: 0.01, 2: 30.0, 3: 40.0, 4: 0.001, 5: 20.0}, [(0, 1), (1, 2), (2, 3), (3, 5)], 0.001)
+    return spark.createDataFrame(sorted(into.items()), "comp int, head int")
+
+
+@query(f"WITH {_V} SELECT {q('min(val)')} low, {q('max(val)')} high FROM v")
+def value_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.value_range(mesh(spark, sf_dir)[0]).select(quant(F.col("low")).alias("low"), quant(F.col("high")).alias("high"))
+
+
+@query("""WITH p AS (SELECT o_orderkey AS pid, CAST(o_custkey % 50 AS DOUBLE) x, o_totalprice y, (o_orderkey % 100) / 1000.0::DOUBLE z FROM orders)
+SELECT pid, x > 10.25 AND x < 40.25 AND y > 100000.5 AND y < 300000.5 AND z > 0.0153 AND z < 0.0653 AS inside FROM p""")
+def inside_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points inside a closed mesh, by the nearest hit of a ray."""
+    from .apps import inside_mesh
+
+    low, high = (10.25, 100000.5, 0.0153), (40.25, 300000.5, 0.0653)
+    p = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("pid"), (F.col("o_custkey") % 50).cast("double").alias("x"), F.col("o_totalprice").alias("y"), (F.col("o_orderkey") % 100 / 1000.0).alias("z"))
+    v = spark.createDataFrame([(n, *(high[a] if n >> a & 1 else low[a] for a in range(3))) for n in range(8)], "vid long, x double, y double, z double")
+    quads = [(0, 2, 3, 1), (4, 5, 7, 6), (0, 1, 5, 4), (2, 6, 7, 3), (0, 4, 6, 2), (1, 3, 7, 5)]
+    f = spark.createDataFrame([(2 * n + m, t) for n, (a, b, c, d) in enumerate(quads) for m, t in enumerate(([a, b, c], [a, c, d]))], "fid long, ids array<long>")
+    return inside_mesh(p, v, f, "pid")
+
+
+@query("SELECT b AS removed, CASE WHEN b THEN 200 ELSE 201 END::BIGINT AS faces FROM (SELECT unnest([true, false]) b)")
+def island_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plane of 10 x 20 quads over the level and a tiny quad apart from it, which goes if asked."""
+    from .apps import trim_surface
+
+    v = spark.range(11 * 21).select(F.col("id").alias("vid"), (F.col("id") % 21).cast("double").alias("x"), F.floor(F.col("id") / 21).cast("double").alias("y"), F.lit(0.0).alias("z"), F.lit(1.0).alias("value"))
+    r, c = F.floor(F.col("id") / 20), F.col("id") % 20
+    f = spark.range(200).select(F.col("id").alias("fid"), F.array(*((r * 21 + c + o).cast("long") for o in (0, 1, 22, 21))).alias("ids"))
+    v = v.union(spark.createDataFrame([(231 + n, 50 + x, y, 0.0, 1.0) for n, (x, y) in enumerate(((0.0, 0.0), (0.1, 0.0), (0.1, 0.1), (0.0, 0.1)))], v.schema))
+    f = f.union(spark.createDataFrame([(200, [231, 232, 233, 234])], f.schema))
+    rows = [(b, trim_surface(v, f, 0.5, remove_islands=b)[1].count()) for b in (True, False)]
+    return spark.createDataFrame(rows, "removed boolean, faces long")
+
 
+@query("SELECT true AS closed, 2::BIGINT AS euler")
+def level_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surface of a ball on a grid of 12 x 12 x 12 corners: its edges have two faces each, and V - E + F = 2."""
+    from ..operators import levelset
 
-@query(f"""WITH {P} SELECT k AS keep, count(*) n FROM p, (SELECT unnest([0, 1]) k) WHERE pid % 2 = k GROUP BY 1""")
-def complement_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points(spark, sf_dir).groupBy((F.col("pid") % 2).cast("int").alias("keep")).agg(F.count(F.lit(1)).alias("n"))
+    g = spark.range(12**3).select(*(F.floor(F.col("id") / 12**k % 12).cast("int").alias(a) for k, a in enumerate("ijk")))
+    g = g.withColumn("val", 17.3 - (F.pow(F.col("i") - 5.5, 2.0) + F.pow(F.col("j") - 5.4, 2.0) + F.pow(F.col("k") - 5.6, 2.0)))
+    v, f = levelset.surface(g, 0.0)
+    e = ops.edges(f).agg(F.bool_and(F.col("n") == 2).alias("closed"), F.count(F.lit(1)).alias("n")).first()
+    return spark.createDataFrame([(bool(e["closed"]), v.count() - e["n"] + f.count())], "closed boolean, euler long")

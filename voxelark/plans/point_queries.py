@@ -134,16 +134,117 @@ def padded_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unit_points(spark, sf_dir).groupBy(d.alias("depth")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_DP = "".join(f", b{p} AS (SELECT e.n, min(b.e + pow(e.c - s.c, 2)) e FROM cum e JOIN cum s ON s.n < e.n JOIN b{p - 1} b ON b.n = s.n GROUP BY e.n)" for p in range(2, 9))
+
+
+@query(f"""WITH {U}, s AS (SELECT CAST(least(floor(u * 64), 63) AS INTEGER) slab, count(*) n FROM u GROUP BY 1), cum AS (SELECT r.range AS n, CAST(coalesce(sum(s.n), 0) AS DOUBLE) c FROM range(65) r LEFT JOIN s ON s.slab < r.range GROUP BY 1),
+b1 AS (SELECT n, c * c AS e FROM cum WHERE n > 0){_DP} SELECT 8 AS parts, count(*) AS slabs, CAST((SELECT e FROM b8 WHERE n = 64) AS BIGINT) AS energy FROM range(64)""")
 def balanced_slabs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slab ranges of balanced size; dynamic programming over 64 counts."""
+    """Slab ranges of balanced size by dynamic programming over 64 counts: none has a smaller sum of squares."""
     p = unit_points(spark, sf_dir).groupBy(F.least(ops.slab(F.col("u"), 64), F.lit(63)).alias("slab")).count()
     counts = [0] * 64
     for r in p.collect():
         counts[r["slab"]] = r["count"]
     ends = ops.balanced_ranges(counts, 8)
-    rows = [(k, a, b, int(sum(counts[a:b]))) for k, (a, b) in enumerate(zip([0, *ends], ends))]  # noqa: B905
-    return spark.createDataFrame(rows, "part int, first int, last int, n long")
+    return spark.createDataFrame([(len(ends), ends[-1], ops.partition_energy(counts, ends))], "parts int, slabs long, energy long")
+
+
+@query(f"WITH {U}, s AS (SELECT CAST(floor(u * 16) AS INTEGER) slab FROM u) SELECT slab BETWEEN 3 AND 9 AS inside, count(*) n FROM s GROUP BY 1")
+def slabs_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a range of slabs, and how many lie out of it."""
+    return ops.in_slabs(unit_points(spark, sf_dir), "u", 16, 3, 10).groupBy("inside").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {P} SELECT pid, CAST((CAST(x AS BIGINT) % 7 * 5 + pid % 5) * 4 + CAST(y AS BIGINT) % 4 AS BIGINT) AS idx, CAST(CAST(y AS BIGINT) % 4 AS INTEGER) i, CAST(pid % 5 AS INTEGER) j, CAST(CAST(x AS BIGINT) % 7 AS INTEGER) k FROM (SELECT pid, floor(x) x, floor(y) y FROM p)")
+def grid_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grid places as one number and back."""
+    p = points(spark, sf_dir).select("pid", (F.floor("y") % 4).alias("i"), (F.col("pid") % 5).alias("j"), (F.floor("x") % 7).alias("k"))
+    p = p.select("pid", ops.grid_index("ijk", (4, 5, 7)).alias("idx"))
+    return p.select("pid", "idx", *ops.grid_coordinates(F.col("idx"), "ijk", (4, 5, 7)))
+
+
+@query(f"WITH {P} SELECT CAST(ceil(greatest(0.0, log2(100.0 / x))) AS INTEGER) depth, count(*) n FROM p GROUP BY 1")
+def width_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points(spark, sf_dir).groupBy(ops.depth_of_width(100.0, F.col("x")).alias("depth")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {P} SELECT pid, {q('ny * z - nz * y', 3)} a, {q('nz * x - nx * z', 3)} b, {q('nx * y - ny * x', 3)} c, {q('sqrt(pow(x - nx, 2) + pow(y - ny, 2) + pow(z - nz, 2))', 3)} distance FROM p")
+def cross_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = g.cross(_n(), _xyz())
+    return points(spark, sf_dir).select("pid", *(quant(v, 3).alias(n) for v, n in zip(c, "abc", strict=True)), quant(g.distance(_xyz(), _n()), 3).alias("distance"))
+
+
+_STREAMS = "s AS (SELECT CAST(o_orderkey % 3 AS INTEGER) AS stream, o_orderkey AS idx, o_totalprice AS a FROM orders)"
+
+
+def _streams(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    p = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("idx"), F.col("o_totalprice").alias("a"))
+    return [p.filter(F.col("idx") % 3 == n) for n in range(3)]
+
+
+@query(f"WITH {_STREAMS} SELECT stream, idx, a, row_number() OVER (ORDER BY stream, idx) - 1 AS place FROM s")
+def streams_one_after_another(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.one_after_another(_streams(spark, sf_dir)).select("stream", "idx", "a", "place")
+
+
+@query(f"WITH {_STREAMS} SELECT idx, a, row_number() OVER (ORDER BY idx) - 1 AS place FROM s")
+def streams_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three indexed streams merged by their index; the place of each row after the merge."""
+    merged = ops.interleaved(_streams(spark, sf_dir))
+    return ops.row_numbers(merged, ["idx"]).select("idx", "a", "place")
+
+
+@query(f"WITH {U}, s AS (SELECT CAST(least(floor(u * 8), 7) AS INTEGER) slab, a FROM u) SELECT slab, count(*) n, {q('sum(a)')} a FROM s GROUP BY 1")
+def merged_slabs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slab fragments of three clients put together."""
+    p = unit_points(spark, sf_dir).select("pid", F.least(ops.slab(F.col("u"), 8), F.lit(7)).alias("slab"), "a")
+    out = ops.merged_slabs([p.filter(F.col("pid") % 3 == n) for n in range(3)])
+    return out.groupBy("slab").agg(F.count(F.lit(1)).alias("n"), quant(F.sum("a")).alias("a"))
+
+
+def _level_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unit_points(spark, sf_dir).select(F.col("pid").alias("vid"), "u", "v", "w", F.col("nx").alias("gu"), F.col("ny").alias("gv"), F.col("nz").alias("gw"), "a")
+
+
+_AL = ops.Alignment((10.0, -3.0, 0.25), (2.0, 4.0, 0.5))
+
+
+@query(f"WITH {U} SELECT pid AS vid, {q('u * 2 + 10')} x, {q('v * 4 - 3')} y, {q('w / 2 + 0.25')} z, {q('nx / 2')} nx, {q('ny / 4')} ny, {q('nz * 2')} nz, {q('a')} AS value FROM u")
+def output_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of a level set with gradients and density in the data's own space."""
+    from .apps import output_points
+
+    out = output_points(_level_set(spark, sf_dir), _AL, density="a")
+    return out.select("vid", *(quant(F.col(c)).alias(c) for c in out.columns if c != "vid"))
+
+
+@query(f"WITH {U} SELECT pid AS vid, {q('u * 256')} x, {q('v * 256')} y, {q('w * 256')} z, a FROM u")
+def output_grid_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .apps import output_points
+
+    out = output_points(_level_set(spark, sf_dir), _AL, gradient=False, aux=("a",), grid_depth=8)
+    return out.select("vid", *(quant(F.col(c)).alias(c) for c in "xyz"), "a")
+
+
+@query(f"""WITH {P}, t AS (SELECT pid, a, {_mx[0]} x, {_mx[1]} y, {_mx[2]} z, {_mn[0]} nx, {_mn[1]} ny, {_mn[2]} nz FROM p)
+SELECT pid, a, {', '.join(q(c) + ' ' + c for c in ('x', 'y', 'z', 'nx', 'ny', 'nz'))} FROM t""".replace("np.float64(", "("))
+def transformed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions and normals move, other columns pass."""
+    from .apps import transform_points
+
+    t = transform_points(points(spark, sf_dir), _M)
+    return t.select("pid", "a", *(quant(F.col(c)).alias(c) for c in (*AXES3, "nx", "ny", "nz")))
+
+
+@query(f"""WITH {P}, c AS (SELECT pid, CASE WHEN pid % 4 = 0 THEN 255 ELSE pid % 256 END r, CASE WHEN pid % 4 = 0 THEN 255 ELSE pid % 11 END g, CASE WHEN pid % 4 = 0 THEN 255 ELSE pid % 7 END b, x FROM p)
+SELECT pid, CAST(CASE WHEN r = 255 AND g = 255 AND b = 255 THEN -1 ELSE r * 65536 + g * 256 + b END AS INTEGER) label, CAST(least(greatest(trunc((x / 40 - 0.1) * 255), 0), 255) AS INTEGER) pixel FROM c""")
+def pixel_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours as labels, white as none, and values as bytes."""
+    from ..sources.files import label_of, to_pixel
+
+    pid = F.col("pid")
+    r, gr, b = (F.when(pid % 4 == 0, 255).otherwise(pid % n).cast("int") for n in (256, 11, 7))
+    return points(spark, sf_dir).select("pid", label_of(r, gr, b).alias("label"), to_pixel(F.col("x") / 40 - 0.1).alias("pixel"))
 
 
 @query("""WITH v AS (SELECT vec_id, embedding AS a, lead(embedding) OVER (ORDER BY vec_id) AS b FROM embeddings)

@@ -24,8 +24,11 @@ def query(sql: str | None = None):
 
 from .plans import (  # noqa: E402,F401
     cell_queries,
+    element_queries,
     field_queries,
     linear_queries,
     mesh_queries,
     point_queries,
+    round_trip_queries,
+    tree_queries,
 )

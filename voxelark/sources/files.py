@@ -33,6 +33,11 @@ def write_ascii(points: DataFrame, path: str, columns: Sequence[str] = POINT) ->
     points.select(F.concat_ws(" ", *(F.col(c).cast("string") for c in columns))).write.text(path)
 
 
+def write_values(points: DataFrame, path: str, axes: Sequence[str], value: str) -> None:
+    """Positions and a value, a line each."""
+    write_ascii(points, path, (*axes, value))
+
+
 def read_binary(spark: SparkSession, path: str, kind: str = "6<f4", columns: Sequence[str] = POINT) -> DataFrame:
     """Packed records (``.bnpts``): ``kind`` is a numpy type of all fields, or a comma-separated list of them, as ``6<f4,3u1`` for colours."""
     dtype = np.dtype([(f"f{n}", t if t[0] in "<>" or not t[0].isdigit() else (t.lstrip("0123456789"), int(t[: len(t) - len(t.lstrip("0123456789"))]))) for n, t in enumerate(kind.split(","))])
