@@ -245,7 +245,7 @@ def _summed(changes: DataFrame, fan_in: int = 64) -> DataFrame:
         first = lambda c: [table.column(c)[0].as_py()]
         return pa.table({"name": first("name"), "piece": first("piece"), "task": first("task"), "n": [sum(table.column("n").to_pylist())], "change": pa.array([x.tolist()], type=pa.list_(pa.float64()))})
 
-    changes = materialize(changes, narrow=True)
+    changes = materialize(changes)
     most = changes.agg(F.max("task")).first()[0] or 0
     while True:
         most //= fan_in
@@ -350,7 +350,8 @@ def _scored(docs: DataFrame, model_words: int, train_bytes: int, head: int) -> D
         task = TaskContext.get().partitionId() << 40
         done = 0
         for batch in batches_of(batches, "text", 8 << 20):  # the longest text sets the number of steps
-            tokens, per_text = token_numbers(batch.column(1).to_pylist())
+            parts = [token_numbers(b.column(1).to_pylist()) for b in batches_of(iter([batch]), "text", 1 << 20)]
+            tokens, per_text = (np.concatenate([p[n] for p in parts]) for n in range(2))
             ids = vocabulary.find(tokens)
             rare = ids < 0
             lm = model.score(np.where(rare, model.words, ids), per_text)
