@@ -164,4 +164,12 @@ def test_distance_grows_away_from_the_mesh(spark):
 def test_colours_are_read_at_every_point(spark):
     from voxelark.plans import field_queries
 
-    assert field_queries.interpolated_colors(spark, "").select("pid").distinct().count() == 3000
+    assert field_queries.interpolated_colors(spark, "").first()["n"] == 3000
+
+
+def test_joined_meshes_keep_their_ids_apart(spark):
+    v = spark.createDataFrame([(0, 0.0, 0.0, 0.0)], "vid long, x double, y double, z double")
+    f = spark.createDataFrame([(0, [0, 0, 0])], "fid long, ids array<long>")
+    vertices, faces = mesh.concatenate([(v, f), (v.filter("false"), f.filter("false")), (v, f)])
+    assert [r["vid"] for r in vertices.orderBy("vid").collect()] == [0, 1]
+    assert [tuple(r) for r in faces.orderBy("fid").collect()] == [(0, [0, 0, 0]), (1, [1, 1, 1])]
