@@ -142,6 +142,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, columns: list[str] | None =
 
 
 def digest(found: DataFrame) -> DataFrame:
+    """The contract's columns from ``find_leaks``' rows, one each; without hits counts are 0 and the digest that of nothing."""
     n_hit = F.expr("aggregate(hit_runs, 0L, (s, x) -> s + x.end - x.start)")
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),

@@ -11,10 +11,12 @@ from .language_model import held_out
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document. Null and empty texts have no spans; long texts are scanned whole; repeated rows get a row each; an empty table gives none; further columns are not looked at."""
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document. Null and empty texts score as a window without words; without labels of both kinds all scores are 0; repeated rows score alike; further columns are not looked at."""
     documents = table(spark, sf_dir, "documents")
     net = toxicity.fit(*toxicity.training_rows(documents, table(spark, sf_dir, "labels")))
     scored = toxicity.score_texts(documents, net, ["doc_id"])
@@ -23,37 +25,45 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document. Null texts have no words; items without words have no windows; repeated rows and items stay as they are; further columns are not looked at."""
     return decontaminate.digest(decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"]))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document. Null and blank texts have no shingles and link with nothing; copies and repeated rows are one class; null ids take part in links; an empty table gives no rows."""
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document. Null, empty and short texts keep all; equal texts of 200 bytes cover each other; repeated rows are copies; an empty table gives no rows."""
     return suffix_dedup.digest(suffix_dedup.repeated_spans(table(spark, sf_dir, "documents")))
 
 
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten rows a query at most. Null ids, and vectors that are null, zero or hold null or non-finite numbers, take no part; ties go to the smaller id; repeated rows count once; empty tables give no rows."""
     rows = table(spark, sf_dir, "embeddings")
     return neighbours.nearest(rows, rows.filter("vec_id % 100 = 0"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a page. Null html is empty; pages without an id are responses; repeated rows of the largest id are all responses; an empty table gives no rows; further columns are not looked at."""
     read = warc.round_trip(table(spark, sf_dir, "pages"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a page. Null urls and those without `://` have empty hosts and paths and no rule; repeated rows get a row each; an empty table gives none."""
     rules = spark.createDataFrame(url_filter.CONTRACT_RULES, "host string, path string, action string")
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a piece. Null and empty texts are their end id alone; long texts are cut, none dropped; repeated rows are packed each; an empty table has no sequences."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document. Null and empty texts are their end token; null ids are training documents; repeated rows count and are scored each; an empty table gives no rows."""
     return language_model.score_documents(table(spark, sf_dir, "documents"))
 
 
