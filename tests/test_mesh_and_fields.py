@@ -153,6 +153,36 @@ def test_smooth_reconstruction_tells_inside_from_outside(spark):
     assert (a - im.level) * (b - im.level) < 0
 
 
+def test_smooth_surface_is_one_closed_sphere(spark):
+    v, f = apps.poisson(apps.sphere(spark, 10_000), 4, 4, smooth=True).surface()
+    assert mesh.edges(f).filter("n <> 2").count() == 0
+    r = v.select(F.sqrt(F.expr("x*x + y*y + z*z")).alias("r")).agg(F.min("r"), F.max("r")).first()
+    assert 0.98 < r[0] and r[1] < 1.02
+
+
+def test_sparse_parts_are_closed_at_a_fine_depth(spark):
+    """Points so far apart on one half that their cells at the finest depth don't touch."""
+    p = apps.sphere(spark, 20_000).filter("x > 0 OR pid % 50 = 0")
+    v, f = apps.poisson(p, 5, 5).surface()
+    assert mesh.edges(f).filter("n <> 2").count() == 0
+    r = v.select(F.sqrt(F.expr("x*x + y*y + z*z")).alias("r")).agg(F.min("r"), F.max("r")).first()
+    assert 0.9 < r[0] and r[1] < 1.1
+
+
+def test_samples_of_low_depth_can_be_left_out(spark):
+    p = apps.sphere(spark, 20_000).filter("x > 0 OR pid % 50 = 0")
+    whole, cut = (apps.poisson(p, 4, 4, cut_off=c).evaluate(p.filter("x < -0.8"), "pid").agg(F.avg("value")).first()[0] for c in (0.0, 3.5))
+    assert 2 * abs(whole - 0.5) < abs(cut - 0.5)  # nothing holds the field at points left out
+
+
+def test_vectors_of_coarse_cells_load_fine_corners(spark):
+    """One constant vector in the whole cube, given at depth 1, pulls as it does given at depth 3."""
+    one = lambda d: fem.full_level(spark, d, ("i", "j")).withColumns({"vx": F.lit(1.0), "vy": F.lit(-2.0)})
+    got = fem.coarser_loads(fem.full_level(spark, 3, ("i", "j")).select("i", "j"), 3, one(1), ("vx", "vy"), ("i", "j"))
+    want = fem.divergence(one(3), 3, ("vx", "vy"), ("i", "j"))
+    assert got.join(want.withColumnRenamed("v", "y"), ["i", "j"]).agg(F.max(F.abs(F.col("v") - F.col("y"))), F.count("y")).first() == (0.0, 81)
+
+
 def test_distance_grows_away_from_the_mesh(spark):
     v, f = box(spark)
     d = apps.distance_transform(v, mesh.triangulate(v, f), 4)

@@ -5,7 +5,7 @@ corrections at finer levels, present only near samples; its value at a point is
 levels. The base level is solved on the driver as a dense array of bounded size; finer levels
 are solved as tables, from coarse to fine, against what the levels before leave over.
 
-The field u minimises  lap |grad u|^2 + mass u^2 - 2 V . grad u - 2 f u + sum w (u(p) - t)^2.
+The field u minimises  lap |grad u|^2 + mass u^2 - 2 V . grad u - 2 f u + sum w (u(p) - t)^2 + sum g |grad u(p) - s|^2.
 """
 
 from __future__ import annotations
@@ -72,11 +72,37 @@ def restrict(b: DataFrame, axes: Sequence[str]) -> DataFrame:
 
 
 def point_terms(samples: DataFrame, d: int, axes: Sequence[str]) -> DataFrame:
-    """Samples summed per cell at depth ``d``: weight, mean place and mean target."""
+    """Samples summed per cell at depth ``d``: weight, mean place and mean target; with a column gweight also that and the mean slopes g<axis>."""
+    unit, slopes = UNIT[: len(axes)], [f"g{a}" for a in axes] if "gweight" in samples.columns else []
+    rows = with_cell(samples, d, unit, axes).withColumn("_w", F.col("weight") + F.col("gweight") if slopes else F.col("weight"))
+    by = dict.fromkeys(unit, "_w") | {"target": "weight"} | dict.fromkeys(slopes, "gweight")
+    weights = ["weight", "_w", *(["gweight"] if slopes else [])]
+    cells = rows.groupBy("d", *axes).agg(*(F.sum(w).alias(w) for w in weights), *(F.sum(F.col(w) * F.col(c)).alias(c) for c, w in by.items()))
+    means = {c: F.col(c) / F.col(w) if w == "_w" else F.coalesce(F.try_divide(c, w), F.lit(0.0)) for c, w in by.items()}
+    return cells.filter("_w > 0").withColumns(means).drop("_w")
+
+
+def _hats_and_slopes(terms: DataFrame, d: int, axes: Sequence[str]) -> DataFrame:
+    """Rows (key, term, axes, basis, weight, target) of ``point_terms``: what each corner adds to the value (term -1) and the slopes (term 0 up) at a sample."""
     unit = UNIT[: len(axes)]
-    rows = with_cell(samples, d, unit, axes)
-    cells = rows.groupBy("d", *axes).agg(F.sum("weight").alias("weight"), *(F.sum(F.col("weight") * F.col(c)).alias(c) for c in (*unit, "target")))
-    return cells.withColumns({c: mean(c) for c in (*unit, "target")}).filter("weight > 0")
+    rows = terms.withColumn("key", F.struct(*axes)).withColumns({f"_c{a}": F.col(a) for a in axes})
+    rows = spline_weights(rows, 1, unit, axes)
+    parts = [F.struct(F.lit(-1).alias("term"), F.col("basis").alias("basis"), F.col("weight").alias("weight"), F.col("target").alias("target"))]
+    if "gweight" in terms.columns:
+        size = float(1 << d)
+        w = {a: 1 - F.abs(F.col(u) * size - F.col(a)) for a, u in zip(axes, unit, strict=True)}
+        for n, a in enumerate(axes):
+            slope = reduce(mul, [w[b] for b in axes if b != a], F.when(F.col(a) > F.col(f"_c{a}"), size).otherwise(-size))
+            parts.append(F.struct(F.lit(n).alias("term"), slope.alias("basis"), F.col("gweight").alias("weight"), F.col(f"g{a}").alias("target")))
+    return rows.select("key", *axes, F.explode(F.array(*parts)).alias("_p")).select("key", *axes, "_p.*")
+
+
+def coarser_loads(cells: DataFrame, d: int, fields: DataFrame, names: Sequence[str], axes: Sequence[str]) -> DataFrame:
+    """Right side at depth ``d`` of cell fields (d, axes, names) of all coarser depths, as far as ``cells`` (axes) reach: each cell looks its ancestors up."""
+    rows = cells.select(*axes, F.explode(F.sequence(F.lit(0), F.lit(d - 1))).alias("_d")).withColumns({f"_{a}": F.expr(f"shiftright({a}, {d} - _d)") for a in axes})
+    above = fields.filter(F.col("d") < d).select(F.col("d").alias("_d"), *(F.col(a).alias(f"_{a}") for a in axes), *names)
+    found = rows.join(above, ["_d", *(f"_{a}" for a in axes)]).groupBy(*axes).agg(*(F.sum(c).alias(c) for c in names))
+    return divergence(found, d, names, axes)
 
 
 def evaluate(points: DataFrame, field: DataFrame, key: str, base: int, depth: int, dim: int = 3, gradient: bool = False) -> DataFrame:
@@ -110,7 +136,7 @@ class Dense:
         eye[[0, -1]] = 0.5
         self.m = (eye * 2 * h / 3, h / 6)
         self.k = (eye * 2 / h, -1 / h)
-        self.rows: tuple | None = None
+        self.rows: list[tuple] = []
 
     def _along(self, x: np.ndarray, axis: int, stencil: tuple[np.ndarray, float]) -> np.ndarray:
         x = np.moveaxis(x, axis, -1)
@@ -119,18 +145,24 @@ class Dense:
         y[..., :-1] += stencil[1] * x[..., 1:]
         return np.moveaxis(y, -1, axis)
 
-    def add_points(self, p: np.ndarray, w: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Keep the point terms and return their right side."""
+    def add_points(self, p: np.ndarray, w: np.ndarray, target: np.ndarray, slope_weight: np.ndarray | None = None, slopes: np.ndarray | None = None) -> np.ndarray:
+        """Keep the point terms, of values and if given of slopes along each axis, and return their right side."""
         size = 1 << self.d
         cell = np.maximum(np.ceil(p * size).astype(int) - 1, 0)
         t = p * size - cell
-        index, weight = [], []
-        for o in product((0, 1), repeat=self.dim):
-            index.append(np.ravel_multi_index(tuple((cell + o).T), (self.n,) * self.dim))
-            weight.append(np.prod(np.where(np.array(o), t, 1 - t), axis=1))
-        self.rows = np.array(index), np.array(weight), w
+        corners = list(product((0, 1), repeat=self.dim))
+        index = np.array([np.ravel_multi_index(tuple((cell + o).T), (self.n,) * self.dim) for o in corners])
+
+        def hats(along: int | None) -> np.ndarray:
+            return np.array([reduce(mul, ((size if o[a] else -size) if a == along else t[:, a] if o[a] else 1 - t[:, a] for a in range(self.dim))) for o in corners])
+
+        terms = [(None, w, target)]
+        if slopes is not None:
+            terms += [(a, slope_weight, slopes[:, a]) for a in range(self.dim)]
         b = np.zeros(self.n**self.dim)
-        np.add.at(b, self.rows[0], self.rows[1] * w * target)
+        for along, weight, wanted in terms:
+            self.rows.append((index, hats(along), weight))
+            np.add.at(b, index, self.rows[-1][1] * weight * wanted)
         return b.reshape((self.n,) * self.dim)
 
     def laplacian(self, x: np.ndarray) -> np.ndarray:
@@ -153,8 +185,7 @@ class Dense:
             for a in range(self.dim):
                 np.moveaxis(inner, a, 0)[[0, -1]] = 0
             y = y + self.curvature * self.laplacian(inner)
-        if self.rows is not None:
-            index, weight, w = self.rows
+        for index, weight, w in self.rows:
             values = (weight * x.ravel()[index]).sum(axis=0) * w
             flat = np.zeros(x.size)
             np.add.at(flat, index, weight * values)
@@ -162,7 +193,7 @@ class Dense:
         return y
 
     def solve(self, b: np.ndarray, x: np.ndarray | None = None, tolerance: float = 1e-10, most: int = 3000) -> np.ndarray:
-        singular = self.mass == 0 and self.rows is None
+        singular = self.mass == 0 and not self.rows
         b = b - b.mean() if singular else b
         x = np.zeros_like(b) if x is None else x
         r = b - self.product(x)
@@ -199,11 +230,13 @@ def coarser(b: np.ndarray) -> np.ndarray:
     return b
 
 
-def solve(spark, base: int, depth: int, dim: int = 3, mass: float = 0.0, lap: float = 1.0, right: DataFrame | None = None, samples: DataFrame | None = None, iterations: int = 8, curvature: float = 0.0) -> DataFrame:
+def solve(spark, base: int, depth: int, dim: int = 3, mass: float = 0.0, lap: float = 1.0, right: DataFrame | None = None, samples: DataFrame | None = None, iterations: int = 8, curvature: float = 0.0, fields: DataFrame | None = None, names: Sequence[str] = ()) -> DataFrame:
     """The field (d, axes, v) of a problem. ``curvature``: weight of the squared Laplacian, at the base level.
 
     ``right``: (axes, v) of corners at ``depth``, from ``divergence`` or a load. ``samples``: (unit, weight,
-    target). Levels over ``base`` hold corners about the cells with samples or a right side.
+    target[, gweight, g<axis>]): values and slopes wanted at points. ``fields``: (d, axes, ``names``), vectors constant
+    in cells of any depths to ``depth`` whose gradient field is sought; it takes the place of ``right``.
+    Levels over ``base`` hold corners about the cells with samples, a right side or vectors of that depth or deeper.
     """
     if base > (5 if dim == 3 else 8):
         raise ValueError("the base level is solved on the driver; 5 in space and 8 in the plane are its bounds")
@@ -213,11 +246,21 @@ def solve(spark, base: int, depth: int, dim: int = 3, mass: float = 0.0, lap: fl
         rights[depth] = written(right)
         for d in range(depth - 1, base - 1, -1):
             rights[d] = written(restrict(rights[d + 1], axes))
+    if fields is not None:
+        for d in range(depth, base - 1, -1):
+            own = divergence(fields.filter(F.col("d") == d), d, names, axes)
+            if d < depth:
+                own = own.union(restrict(rights[d + 1], axes)).groupBy(*axes).agg(F.sum("v").alias("v"))
+            rights[d] = written(own)
     b = np.zeros(((1 << base) + 1,) * dim)
-    if right is not None:
-        t = rights[base].toPandas()
+    if rights:
+        t = rights[base]  # a row a corner of the base level at most, and as many again
+        if fields is not None and base:
+            t = t.union(coarser_loads(full_level(spark, base, axes).select(*axes), base, fields, names, axes))
+        t = t.toPandas()
         np.add.at(b, tuple(t[a].to_numpy() for a in axes), t["v"].to_numpy())
     t = point_terms(samples, base, axes).toPandas() if samples is not None else []  # one row a cell of the base level at most
+    slopes = (t["gweight"].to_numpy(dtype=float), t[[f"g{a}" for a in axes]].to_numpy(dtype=float)) if len(t) and "gweight" in t else ()
     loads = [b]
     for _ in range(base - min(2, base)):
         loads.append(coarser(loads[-1]))
@@ -225,16 +268,16 @@ def solve(spark, base: int, depth: int, dim: int = 3, mass: float = 0.0, lap: fl
     for d in range(min(2, base), base + 1):  # coarse to fine, each from the one before
         grid, b = Dense(d, dim, mass, lap, curvature), loads[base - d]
         if len(t):
-            b = b + grid.add_points(t[list(unit)].to_numpy(dtype=float), t["weight"].to_numpy(dtype=float), t["target"].to_numpy(dtype=float))
+            b = b + grid.add_points(t[list(unit)].to_numpy(dtype=float), t["weight"].to_numpy(dtype=float), t["target"].to_numpy(dtype=float), *slopes)
         x = grid.solve(b, None if x is None else finer(x))
     index = np.indices(x.shape).reshape(dim, -1)
     field = written(spark.createDataFrame(pd.DataFrame({"d": base} | {a: index[n] for n, a in enumerate(axes)} | {"v": x.ravel()}), ", ".join(["d int", *(f"{a} int" for a in axes), "v double"])))
     for d in range(base + 1, depth + 1):
-        field = written(field.union(_correction(field, base, d, dim, mass, lap, rights.get(d), samples, iterations)))
+        field = written(field.union(_correction(field, base, d, dim, mass, lap, rights.get(d), samples, iterations, fields, names)))
     return field
 
 
-def _correction(field: DataFrame, base: int, d: int, dim: int, mass: float, lap: float, right: DataFrame | None, samples: DataFrame | None, iterations: int) -> DataFrame:
+def _correction(field: DataFrame, base: int, d: int, dim: int, mass: float, lap: float, right: DataFrame | None, samples: DataFrame | None, iterations: int, fields: DataFrame | None = None, names: Sequence[str] = ()) -> DataFrame:
     """Corners' values at depth ``d`` that take up what the levels before leave over, by conjugate gradients."""
     axes, unit = axes_of(dim), UNIT[:dim]
     terms = written(point_terms(samples, d, axes)) if samples is not None else None
@@ -252,14 +295,14 @@ def _correction(field: DataFrame, base: int, d: int, dim: int, mass: float, lap:
     places = ring.withColumn("key", F.struct(*axes)).withColumns({u: F.col(a) / F.lit(float(1 << d)) for u, a in zip(unit, axes, strict=True)})
     before = written(evaluate(places.select("key", *unit), field, "key", base, d - 1, dim).select("key.*", F.coalesce("value", F.lit(0.0)).alias("v")))
 
+    pulls = _hats_and_slopes(terms, d, axes) if terms is not None else None
+
     def at_points(x: DataFrame, scale: str, sign: float) -> DataFrame:
-        """Point terms of a vector: values at the samples, times their weight, on their corners."""
-        s = terms.withColumn("key", F.struct(*axes)).withColumns({f"_{a}": F.col(a) for a in axes})
-        w = spline_weights(s, 1, unit, axes)
+        """Point terms of a vector: values and slopes at the samples, times their weight, on their corners."""
         if scale == "target":
-            return w.groupBy(*axes).agg(F.sum(F.col("basis") * F.col("weight") * F.col("target")).alias("v"))
-        values = w.join(x.withColumnRenamed("v", "_x"), list(axes)).groupBy("key").agg(F.sum(F.col("basis") * F.col("_x")).alias("value"))
-        return w.drop("v").join(values, "key").groupBy(*axes).agg(F.sum(F.col("basis") * F.col("weight") * F.col("value") * sign).alias("v"))
+            return pulls.groupBy(*axes).agg(F.sum(F.col("basis") * F.col("weight") * F.col("target")).alias("v"))
+        values = pulls.join(x.withColumnRenamed("v", "_x"), list(axes)).groupBy("key", "term").agg(F.sum(F.col("basis") * F.col("_x")).alias("value"))
+        return pulls.join(values, ["key", "term"]).groupBy(*axes).agg(F.sum(F.col("basis") * F.col("weight") * F.col("value") * sign).alias("v"))
 
     def product_(x: DataFrame) -> DataFrame:
         y = apply_system(x, d, mass, lap, axes)
@@ -269,6 +312,10 @@ def _correction(field: DataFrame, base: int, d: int, dim: int, mass: float, lap:
     parts = [apply_system(before, d, mass, lap, axes).withColumn("v", -F.col("v"))]
     if right is not None:
         parts.append(right.select(*axes, "v"))
+    if fields is not None:
+        about = active.select(*axes, F.explode(offsets(-1, 0, axes)).alias("o")).select(*((F.col(a) + F.col(f"o.{a}")).alias(a) for a in axes)).distinct()
+        about = about.filter(reduce(lambda p, q: p & q, (F.col(a).between(0, (1 << d) - 1) for a in axes)))
+        parts.append(coarser_loads(about, d, fields, names, axes))
     if terms is not None:
         parts += [at_points(before, "value", -1.0), at_points(before, "target", 1.0)]
     r = written(reduce(DataFrame.union, parts).join(active, list(axes), "left_semi").groupBy(*axes).agg(F.sum("v").alias("v")))

@@ -75,13 +75,14 @@ class Implicit:
         return fem.grid_values(self.field.sparkSession, self.field, self.base, self.depth, out_depth, self.dim, dual)
 
 
-def poisson(points: DataFrame, depth: int = 8, base: int = 5, scale: float = 1.1, samples_per_node: float = 1.5, point_weight: float = 2.0, confidence: float = 0.0, aux: tuple[str, ...] = (), per_level: float = 32.0, smooth: bool = False, alignment: Alignment | None = None) -> Implicit:
+def poisson(points: DataFrame, depth: int = 8, base: int = 5, scale: float = 1.1, samples_per_node: float = 1.5, point_weight: float = 2.0, confidence: float = 0.0, aux: tuple[str, ...] = (), per_level: float = 32.0, smooth: bool = False, alignment: Alignment | None = None, cut_off: float = 0.0, gradient_weight: float = 1.0) -> Implicit:
     """A field whose gradient follows the points' normals, level at the points.
 
     points: x, y, z, nx, ny, nz and the ``aux`` columns; rows without a usable normal, or outside the
-    unit cube, are left out. Samples are summed per finest cell first; normals are splatted
-    at the finest depth, whatever the density. ``smooth``: the same right side, values 0 at
-    samples and a curvature term; gradients aren't fitted at samples.
+    unit cube, are left out, and samples whose estimated depth is under ``cut_off``. Samples are
+    summed per finest cell first; each normal is splatted at the depth that the density about it
+    suggests, from 2 to ``depth``. ``smooth``: no vector field; values 0 and gradients against the normals
+    are fitted at samples, under a curvature and a weak gradient term.
     """
     spark = points.sparkSession
     base = min(base, depth)
@@ -98,16 +99,21 @@ def poisson(points: DataFrame, depth: int = 8, base: int = 5, scale: float = 1.1
     dens = written(den.density(s, kernel))
     at = s.withColumn("key", F.struct(*AXES))
     dw = den.depth_and_weight(den.samples_per_node(at.select("key", *UNIT), dens, "key", kernel), "key", samples_per_node, kernel)
-    dw = written(dw)
-    at = at.join(dw.withColumnRenamed("weight", "share"), "key")
-    # the area that each sample stands for, times its normal: the surface's gradient field
-    cells = at.select("d", *AXES, *((-F.col(c) * F.col("share") * F.pow(F.lit(2.0), F.lit(3.0 * depth))).alias(v) for c, v in zip(("nx", "ny", "nz"), ("vx", "vy", "vz"), strict=True)))
-    right = fem.divergence(_blurred(cells, depth), depth, ("vx", "vy", "vz"), AXES)
-    total = at.agg(F.sum(F.col("weight") * F.col("share"))).first()[0] or 1.0
-    target, w = (0.0, point_weight) if smooth else (0.5, point_weight)
-    samples = at.select(*UNIT, (F.col("weight") * F.col("share") * w / total * 8).alias("weight"), F.lit(target).alias("target"))
-    samples = written(samples)
-    field = fem.solve(spark, base, depth, 3, 0.0, 1.0, right, samples, curvature=1e-5 if smooth else 0.0)
+    dw = written(den.deep_enough(dw, cut_off) if cut_off > 0 else dw)
+    share = F.col("weight") * F.col("share")
+    at = written(at.join(dw.select("key", F.col("weight").alias("share")), "key").withColumn("share", share))
+    total = at.agg(F.sum("share")).first()[0] or 1.0
+    unit_weight = F.col("share") / total
+    if smooth:
+        slopes = {f"g{a}": -F.col(c) / F.col("weight") for a, c in zip(AXES, ("nx", "ny", "nz"), strict=True)}
+        given = at.select(*UNIT, (unit_weight * 8 * point_weight).alias("weight"), F.lit(0.0).alias("target"), (unit_weight * gradient_weight).alias("gweight"), *(c.alias(n) for n, c in slopes.items()))
+        samples = written(given)
+        field = fem.solve(spark, base, depth, 3, 0.0, 1e-2, None, samples, curvature=1e-4)  # weaker terms leave sheets far from samples
+    else:
+        samples = written(at.select(*UNIT, (unit_weight * 8 * point_weight).alias("weight"), F.lit(0.5).alias("target")))
+        # the area that each sample stands for, times its normal: the surface's gradient field
+        vectors = written(den.vector_field(at.select("key", *UNIT, *((-F.col(c)).alias(c) for c in ("nx", "ny", "nz"))), dw, "key", ("nx", "ny", "nz"), min(2, base), depth))
+        field = fem.solve(spark, base, depth, 3, 0.0, 1.0, None, samples, fields=vectors, names=("vx", "vy", "vz"))
     out = Implicit(field, base, depth, al, density=dens, aux_names=aux)
     keyed = samples.withColumn("key", F.struct(*UNIT))
     out.level = fem.average_at(keyed, field, base, depth)
@@ -116,26 +122,14 @@ def poisson(points: DataFrame, depth: int = 8, base: int = 5, scale: float = 1.1
     return out
 
 
-def _blurred(cells: DataFrame, depth: int) -> DataFrame:
-    """A cell field spread over each cell's neighbours with the weights of a quadratic spline's centre."""
-    from ..operators.cells import neighbours
-
-    w = {-1: 0.125, 0: 0.75, 1: 0.125}
-    near = neighbours(cells)
-    weight = F.lit(1.0)
-    for a in AXES:
-        o = F.col(f"n_{a}") - F.col(a)
-        weight = weight * F.when(o == 0, w[0]).otherwise(w[1])
-    return near.groupBy(*(F.col(f"n_{a}").alias(a) for a in AXES)).agg(*(F.sum(F.col(c) * weight).alias(c) for c in ("vx", "vy", "vz")))
-
-
-def fit(points: DataFrame, dim: int = 2, depth: int = 6, base: int = 6, value_weight: float = 1000.0, lap: float = 0.0, curvature: float = 1.0, scale: float = 1.1) -> Implicit:
-    """A smooth field through scattered values: columns x, y[, z], value."""
+def fit(points: DataFrame, dim: int = 2, depth: int = 6, base: int = 6, value_weight: float = 1000.0, lap: float = 0.0, curvature: float = 1.0, scale: float = 1.1, gradient_weight: float = 0.0) -> Implicit:
+    """A smooth field through scattered values: columns x, y[, z], value; with a ``gradient_weight`` also gx, gy[, gz], the slopes wanted there."""
     names = "xyz"[:dim]
     base = min(depth, base)
     al = unit_cube(points, names, scale)
     n = points.count() or 1
-    s = points.select(*(c.alias(u) for c, u in zip(al.apply([F.col(a) for a in names]), UNIT, strict=False)), F.lit(value_weight / n).alias("weight"), F.col("value").alias("target"))
+    slopes = [F.lit(gradient_weight / n).alias("gweight"), *((F.col(f"g{c}") * F.lit(size)).alias(f"g{a}") for c, a, size in zip(names, AXES, al.scale, strict=False))] if gradient_weight > 0 else []
+    s = points.select(*(c.alias(u) for c, u in zip(al.apply([F.col(a) for a in names]), UNIT, strict=False)), F.lit(value_weight / n).alias("weight"), F.col("value").alias("target"), *slopes)
     field = fem.solve(points.sparkSession, base, depth, dim, 0.0, lap, None, written(s), curvature=curvature * 1e-5)
     return Implicit(field, base, depth, al, dim=dim)
 

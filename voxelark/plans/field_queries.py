@@ -109,6 +109,26 @@ def reconstruct_smooth_sphere(spark: SparkSession, sf_dir: str) -> DataFrame:
     return im.evaluate(at, "p").select("p", (F.col("value") > im.level).alias("inside"))
 
 
+@query("SELECT true AS closed, true AS near")
+def reconstruct_uneven_sphere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sphere with a fiftieth of the points on one half, one level over the base: is the surface closed and its radius right to a tenth?"""
+    from ..operators import mesh
+
+    v, f = apps.poisson(apps.sphere(spark, 20_000).filter("x > 0 OR pid % 50 = 0"), 5, 4).surface()
+    r = v.select(F.sqrt(F.expr("x*x + y*y + z*z")).alias("r")).agg(F.min("r").alias("a"), F.max("r").alias("b"))
+    return mesh.edges(f).agg(F.bool_and(F.col("n") == 2).alias("closed")).crossJoin(F.broadcast(r)).select("closed", ((F.col("a") > 0.9) & (F.col("b") < 1.1)).alias("near"))
+
+
+@query("SELECT * FROM (VALUES (0, true), (1, true), (2, true), (3, true)) t(k, near)")
+def gradient_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """x^2 + y^2 through sixty points with their slopes, one level over the base: values between them right to 0.01?"""
+    unit = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 29)) - 1
+    p = spark.range(60).select(unit(1).alias("x"), unit(2).alias("y"))
+    p = p.withColumns({"value": F.expr("x * x + y * y"), "gx": F.col("x") * 2, "gy": F.col("y") * 2})
+    at = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 0.5, 0.0, 0.25), (2, 0.5, 0.5, 0.5), (3, -0.7, 0.6, 0.85)], "k int, x double, y double, true_value double")
+    return apps.fit(p, base=5, gradient_weight=1000.0).evaluate(at, "k").join(at, "k").select("k", (F.abs(F.col("value") - F.col("true_value")) < 0.01).alias("near"))
+
+
 @query("SELECT 3000::BIGINT AS n, true AS inside, true AS banded")
 def interpolated_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colours of a banded sphere read at its own points: weighted means, so inside the range of the data and mostly of their own band."""
