@@ -293,7 +293,7 @@ def redact(df: DataFrame, text_col: str = "text", mask: str = "[SECRET]", thresh
             return text
         out, at = [], 0
         for _, start, end, _, _ in spans:
-            if start >= at:
+            if start > at or not out:
                 out += [text[at:start], mask]
             at = max(at, end)
         return "".join([*out, text[at:]])
