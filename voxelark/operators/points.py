@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import dot, norm, normal_color, vector
+from ..storage import written
 
 #: The axes and the six face diagonals.
 DIRECTIONS = [
@@ -83,11 +84,16 @@ def systematic_sample(df: DataFrame, keep: int, order: Sequence[str]) -> DataFra
 
 
 def row_numbers(df: DataFrame, order: Sequence[str], name: str = "place", start: int = 0) -> DataFrame:
-    """Dense numbers in order, without a window over the whole table: ranges are sorted each on its own and offset by the sizes of those before."""
-    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    if parts.isStreaming:
+    """Dense numbers in order (nulls last), without a window over the whole table: ranges are sorted each on its own and offset by the sizes of those before.
+
+    The sorted ranges are written first: dealt out twice, for their rows and for their sizes, they have different bounds.
+    """
+    if df.isStreaming:
         raise ValueError("row numbers need a finite table")
-    local = parts.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
+    by = [F.col(c).asc_nulls_last() for c in order]
+    # the number of the range above 33 bits, that of the row in it below
+    local = written(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_n", F.monotonically_increasing_id()))
+    local = local.withColumn("_part", F.shiftright("_n", 33)).withColumn("_n", F.col("_n").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
     before = sizes.select("_part", (F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).alias("_before"))
     return local.join(F.broadcast(before), "_part").withColumn(name, F.coalesce("_before", F.lit(0)) + F.col("_n") + start).drop("_part", "_n", "_before")

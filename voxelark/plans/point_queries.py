@@ -253,7 +253,7 @@ SELECT vec_id, floor(list_dot_product(CAST(a AS DOUBLE[]), CAST(b AS DOUBLE[]))
 def embedding_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("a"))
     n = ops.row_numbers(v, ["vec_id"])
-    pairs = n.join(n.select((F.col("place") - 1).alias("place"), F.col("a").alias("b")), "place")
+    pairs = n.join(n.select((F.col("place") - 1).alias("place"), F.col("a").alias("b")).filter("b IS NOT NULL"), "place")
     return pairs.select("vec_id", quant(g.array_dot("a", "b")).alias("dot"), quant(g.array_norm("a")).alias("length"))
 
 
