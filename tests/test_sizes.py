@@ -15,6 +15,7 @@ def tables(spark, tmp_path_factory):
     key = F.col("id") * 7919 % ROWS  # every key once, in no order
     t = spark.range(0, ROWS, 1, 8)
     t.select(key.alias("vec_id"), F.array(*((F.col("id") % n).cast("float") for n in (3, 5, 7, 11))).alias("embedding")).write.parquet(f"{at}/embeddings.parquet")
+    t.select(key.alias("o_orderkey"), (F.col("id") / 4).alias("o_totalprice")).write.parquet(f"{at}/orders.parquet")
     return at
 
 
@@ -29,7 +30,7 @@ def many_ranges(spark):
         spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize(("name", "table"), [("embedding_dot", "embeddings")])
+@pytest.mark.parametrize(("name", "table"), [("embedding_dot", "embeddings"), ("streams_interleaved", "orders")])
 def test_same_rows_as_sql(spark, tables, many_ranges, name, table):
     registry.QUERIES[name](spark, tables).write.mode("overwrite").parquet(f"{tables}/{name}")
     c = duckdb.connect()
