@@ -30,7 +30,7 @@ def many_ranges(spark):
         spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize(("name", "table"), [("embedding_dot", "embeddings"), ("streams_interleaved", "orders"), ("streams_one_after_another", "orders")])
+@pytest.mark.parametrize(("name", "table"), [("embedding_dot", "embeddings"), ("streams_interleaved", "orders"), ("streams_one_after_another", "orders"), ("systematic_sample", "orders")])
 def test_same_rows_as_sql(spark, tables, many_ranges, name, table):
     registry.QUERIES[name](spark, tables).write.mode("overwrite").parquet(f"{tables}/{name}")
     c = duckdb.connect()
