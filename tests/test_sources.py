@@ -73,3 +73,37 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(60)
     got = sorted(map(tuple, spark.table("voxels").select("i", "j", "n", "sum").collect()))
     assert got == sorted(map(tuple, voxel_counts(rows, 3).select("i", "j", "n", "sum").collect()))
+
+
+def test_packed_points_in_tasks(spark, tmp_path, monkeypatch):
+    """Rows are packed and read by tasks, in order, not one at a time on the driver or a file a task."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", None)
+    n = (1 << 18) + 5
+    p = spark.range(0, n, 1, 3).select(*((F.col("id") / k).alias(c) for k, c in enumerate(files.POINT, 1)))
+    files.write_binary(p, str(tmp_path / "p.bnpts"))
+    want = (np.arange(n)[:, None] / np.arange(1, 7)).astype("<f4")
+    assert (tmp_path / "p.bnpts").read_bytes() == want.tobytes()
+    back = files.read_binary(spark, str(tmp_path / "p.bnpts"))
+    assert back.select(F.spark_partition_id()).distinct().count() == 2
+    assert (back.toPandas().to_numpy() == want).all()
+
+
+def test_packed_points_of_odd_kinds(spark, tmp_path):
+    six = ", ".join(f"{c} double" for c in files.POINT)
+    files.write_binary(spark.createDataFrame([], six), str(tmp_path / "none.bnpts"))
+    assert files.read_binary(spark, str(tmp_path / "none.bnpts")).count() == 0
+    for bad in (None, 1e300):
+        with pytest.raises(Exception, match="a point has a null|overflow"):
+            files.write_binary(spark.createDataFrame([(1.0, 2.0, 3.0, 0.0, 0.0, bad)], six), str(tmp_path / "bad.bnpts"))
+    (tmp_path / "cut.bnpts").write_bytes(b"\0" * 25)
+    with pytest.raises(Exception, match="multiple of element size"):
+        files.read_binary(spark, str(tmp_path / "cut.bnpts")).collect()
+
+
+def test_packed_points_of_a_store_that_only_spark_reads(spark, tmp_path):
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.packed.link./in", f"file://{tmp_path}")
+    (tmp_path / "a, b c.bnpts").write_bytes(np.arange(600_000, dtype="<f4").tobytes())
+    back = files.read_binary(spark, "viewfs://packed/in/a, b c.bnpts").toPandas().to_numpy()
+    assert (np.sort(back.ravel()) == np.arange(600_000)).all() and back.shape == (100_000, 6)

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import shutil
 import struct
+import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import folder
+from .ply import store
+
 POINT = ("x", "y", "z", "nx", "ny", "nz")
 
 
@@ -39,25 +47,67 @@ def write_values(points: DataFrame, path: str, axes: Sequence[str], value: str)
 
 
 def read_binary(spark: SparkSession, path: str, kind: str = "6<f4", columns: Sequence[str] = POINT) -> DataFrame:
-    """Packed records (``.bnpts``): ``kind`` is a numpy type of all fields, or a comma-separated list of them, as ``6<f4,3u1`` for colours."""
+    """Packed records (``.bnpts``): ``kind`` is a numpy type of all fields, or a comma-separated list of them, as ``6<f4,3u1`` for colours.
+
+    Files on a disk that all share are read in ranges of records, in their order; those of other stores a file a task, each of under 2 GB.
+    """
     dtype = np.dtype([(f"f{n}", t if t[0] in "<>" or not t[0].isdigit() else (t.lstrip("0123456789"), int(t[: len(t) - len(t.lstrip("0123456789"))]))) for n, t in enumerate(kind.split(","))])
+    schema = ", ".join(f"{c} double" for c in columns)
+
+    def unpacked(raw: bytes) -> pa.RecordBatch:
+        rows = np.frombuffer(raw, dtype=dtype)
+        flat = [np.asarray(rows[f]).reshape(len(rows), -1).astype(np.float64) for f in dtype.names]
+        whole = np.concatenate(flat, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(whole[:, k])) for k in range(len(columns))], list(columns))
+
+    whole = spark.read.format("binaryFile").load(path).filter("length > 0")
+    found = sorted(whole.select("path", "length").collect())
+    if not all(name.startswith("file:") for name, _ in found):
+        return whole.select("content").mapInArrow(lambda batches: (unpacked(raw) for batch in batches for raw in batch.column(0).to_pylist()), schema)
+
+    step = dtype.itemsize << 18
+    first = [0, *accumulate(-(-length // step) for _, length in found)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                rows = np.frombuffer(raw, dtype=dtype)
-                flat = [np.asarray(rows[f]).reshape(len(rows), -1).astype(np.float64) for f in dtype.names]
-                whole = np.concatenate(flat, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(whole[:, k])) for k in range(len(columns))], list(columns))
+            for n in batch.column(0).to_pylist():
+                k = bisect_right(first, n) - 1
+                with open(found[k][0].removeprefix("file:"), "rb") as f:
+                    f.seek((n - first[k]) * step)
+                    yield unpacked(f.read(step))
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, ", ".join(f"{c} double" for c in columns))
+    return spark.range(0, first[-1], 1, max(1, min(first[-1], 1 << 14))).mapInArrow(run, schema)
 
 
 def write_binary(points: DataFrame, path: str, columns: Sequence[str] = POINT) -> None:
-    """Packed 32-bit floats, in the table's order, to one file."""
-    with open(path, "wb") as f:
-        for row in points.select(*columns).toLocalIterator(prefetchPartitions=True):
-            f.write(struct.pack(f"<{len(columns)}f", *row))
+    """Packed 32-bit floats, in the table's order, to one file; a null, or a number too large for 32 bits, is an error.
+
+    Tasks pack their rows into parts in the shared folder; the driver puts these together.
+    """
+    at = folder(points.sparkSession)
+    system, plain = store(at)
+    system.create_dir(plain)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = f"{at}/{uuid.uuid4().hex}"  # an attempt's own
+        system, plain = store(name)
+        with system.open_output_stream(plain) as f:
+            for batch in batches:
+                if any(c.null_count for c in batch.columns):
+                    raise ValueError("a point has a null")
+                with np.errstate(over="raise"):
+                    f.write(np.stack([c.to_numpy().astype("<f4") for c in batch.columns], axis=1).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([name])], ["part", "name"])
+
+    try:
+        parts = points.select(*(F.col(c).cast("double").alias(c) for c in columns)).mapInArrow(run, "part long, name string").collect()
+        with open(path, "wb") as f:
+            for _, name in sorted(parts):
+                system, part = store(name)
+                with system.open_input_stream(part) as g:
+                    shutil.copyfileobj(g, f, 1 << 22)
+    finally:
+        system.delete_dir(plain)
 
 
 def read_transform(path: str, dim: int = 3) -> np.ndarray:

@@ -71,11 +71,16 @@ class Header:
         return found
 
 
-def _open(path: str):
+def store(path: str):
+    """The file system of an address, and its name there."""
     from pyarrow import fs
 
     p = urlparse(path)
-    system, name = (fs.LocalFileSystem(), p.path) if p.scheme in ("", "file") else fs.FileSystem.from_uri(path)
+    return (fs.LocalFileSystem(), p.path) if p.scheme in ("", "file") else fs.FileSystem.from_uri(path)
+
+
+def _open(path: str):
+    system, name = store(path)
     return system.open_input_file(name)
 
 
