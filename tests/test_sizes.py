@@ -39,3 +39,15 @@ def test_same_rows_as_sql(spark, tables, many_ranges, name, table):
     columns = ", ".join(d[0] for d in want.description)
     got = c.execute(f"SELECT {columns} FROM '{tables}/{name}/*.parquet' ORDER BY ALL")
     assert got.fetchall() == c.execute(f"SELECT {columns} FROM ({registry.ORACLE[name]}) ORDER BY ALL").fetchall()
+
+
+def _odd_orders(spark, at):
+    """Orders with negative keys and null ones, these with one price as their order is open."""
+    key = F.when(F.col("id") % 1000 == 7, None).when(F.col("id") % 5 == 0, -1 - F.col("id")).otherwise(F.col("id"))
+    price = F.when(F.col("id") % 1000 == 7, 1.5).when(F.col("id") % 97 == 0, None).otherwise(F.col("id") / 4)
+    spark.range(0, ROWS, 1, 8).select(key.alias("o_orderkey"), price.alias("o_totalprice")).write.parquet(f"{at}/orders.parquet")
+
+
+def test_interleaved_streams_keep_rows_of_any_key(spark, tmp_path, many_ranges):
+    _odd_orders(spark, tmp_path)
+    test_same_rows_as_sql(spark, str(tmp_path), None, "streams_interleaved", "orders")

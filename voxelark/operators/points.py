@@ -144,9 +144,12 @@ def partition_energy(counts: Sequence[int], ends: Sequence[int]) -> int:
     return sum(int(sum(counts[a:b])) ** 2 for a, b in zip([0, *ends], ends))  # noqa: B905
 
 
-def one_after_another(parts: Sequence[DataFrame]) -> DataFrame:
-    """Streams as one table, with ``stream`` and dense numbers: those of a stream (in order of ``idx``) after those before."""
-    rows = reduce(DataFrame.unionByName, (p.withColumn("stream", F.lit(n)) for n, p in enumerate(parts)))
+def one_after_another(parts: Sequence[DataFrame], numbers: Sequence[int | None] | None = None) -> DataFrame:
+    """Streams as one table, with ``stream`` and dense numbers: those of a stream (in order of ``idx``) after those before.
+
+    ``numbers``: the streams' numbers, instead of their places among ``parts``; streams come by number, that without one last.
+    """
+    rows = reduce(DataFrame.unionByName, (p.withColumn("stream", F.lit(n).cast("int")) for n, p in zip(range(len(parts)) if numbers is None else numbers, parts, strict=True)))
     return row_numbers(rows, ["stream", "idx"], "place")
 
 

@@ -177,19 +177,23 @@ def cross_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STREAMS = "s AS (SELECT CAST(o_orderkey % 3 AS INTEGER) AS stream, o_orderkey AS idx, o_totalprice AS a FROM orders)"
 
 
+#: What a key leaves by 3: a negative one a negative number, null null.
+_REMAINDERS = (-2, -1, 0, 1, 2, None)
+
+
 def _streams(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     p = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("idx"), F.col("o_totalprice").alias("a"))
-    return [p.filter(F.col("idx") % 3 == n) for n in range(3)]
+    return [p.filter((F.col("idx") % 3).eqNullSafe(F.lit(n).cast("long"))) for n in _REMAINDERS]
 
 
 @query(f"WITH {_STREAMS} SELECT stream, idx, a, row_number() OVER (ORDER BY stream, idx) - 1 AS place FROM s")
 def streams_one_after_another(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.one_after_another(_streams(spark, sf_dir)).select("stream", "idx", "a", "place")
+    return ops.one_after_another(_streams(spark, sf_dir), _REMAINDERS).select("stream", "idx", "a", "place")
 
 
 @query(f"WITH {_STREAMS} SELECT idx, a, row_number() OVER (ORDER BY idx) - 1 AS place FROM s")
 def streams_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three indexed streams merged by their index; the place of each row after the merge."""
+    """Indexed streams merged by their index; the place of each row after the merge."""
     merged = ops.interleaved(_streams(spark, sf_dir))
     return ops.row_numbers(merged, ["idx"]).select("idx", "a", "place")
 
