@@ -51,3 +51,8 @@ def _odd_orders(spark, at):
 def test_interleaved_streams_keep_rows_of_any_key(spark, tmp_path, many_ranges):
     _odd_orders(spark, tmp_path)
     test_same_rows_as_sql(spark, str(tmp_path), None, "streams_interleaved", "orders")
+
+
+def test_streams_one_after_another_keep_rows_of_any_key(spark, tmp_path, many_ranges):
+    _odd_orders(spark, tmp_path)
+    test_same_rows_as_sql(spark, str(tmp_path), None, "streams_one_after_another", "orders")
