@@ -25,12 +25,13 @@ from pyspark.sql import functions as F
 
 from .common import SPACED, Words, batches_of, materialize, scratch
 from .lookup import Lookup
-from .rnn import Adam, gru_back, gru_init, gru_run, gru_step
+from .rnn import Adam, gru_init, wide_back, wide_run, wide_step
 
 HEAD = 131_072
 _END = np.uint64(0xE5D)  # the end token's number; words' numbers are 64-bit hashes
 _LN10 = np.log(10)
-_ROWS = 8192
+_ROWS = 1024  # of classes at once: small arrays stay in the cache
+_STEPS = 16_384  # tokens scored at once
 
 
 def held_out(id_col: F.Column, mod: int, rest: int) -> F.Column:
@@ -85,6 +86,23 @@ def _exp_rows(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float
     return e, e @ ones, top
 
 
+def _exp_runs(a: np.ndarray, start: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
+    """``_exp_rows`` of rows of any length that follow one another in ``a``, which is overwritten."""
+    top = 0.0
+    if not -60 < a.min() <= a.max() < 60:
+        top = np.maximum.reduceat(a, start)
+        a -= np.repeat(top, width)
+    np.exp(a, out=a)
+    return np.add.reduceat(a, start), top
+
+
+def _and_one(H: np.ndarray) -> np.ndarray:
+    """``H`` with a column of ones, which takes the biases."""
+    out = np.ones((len(H), H.shape[1] + 1), dtype=np.float32)
+    out[:, :-1] = H
+    return out
+
+
 class Model:
     """Words 0 (the end) to ``words - 1`` and the mark ``words`` for all others.
 
@@ -102,7 +120,8 @@ class Model:
         mass = np.cumsum(np.sqrt(p[:-1]))
         _, self.first = np.unique(np.minimum(self.CLASSES * (mass - np.sqrt(p[:-1])) / mass[-1], self.CLASSES - 1).astype(np.int64), return_index=True)
         self.classes = len(self.first) + 1  # the mark is a class of its own
-        self.class_of = np.repeat(np.arange(self.classes), np.diff(np.concatenate([self.first, [self.words, self.words + 1]])))
+        self.sizes = np.diff(np.concatenate([self.first, [self.words, self.words + 1]]))
+        self.class_of = np.repeat(np.arange(self.classes), self.sizes)
         by_class = np.add.reduceat(p[:-1], self.first)
         gru = gru_init(rng, n, n)
         self.w = {
@@ -111,59 +130,72 @@ class Model:
             "O": rng.normal(0, 0.05, (self.words, n)).astype(np.float32), "o": np.log(p[:-1] / by_class[self.class_of[:-1]]).astype(np.float32),
         }
 
-    def _in_class(self, cls: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
-        """(its words, places of its tokens) of the classes that occur, but the mark's and those of one word."""
-        order = np.argsort(cls.astype(np.int16), kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(self.classes))
-        ends = np.append(self.first[1:], self.words)
-        for c in range(self.classes - 1):
-            at = order[bounds[c] : bounds[c + 1]]
-            if len(at) and ends[c] - self.first[c] > 1:
-                yield slice(self.first[c], ends[c]), at
+    def _inside(self, H: np.ndarray, ids: np.ndarray, O: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[slice, slice, np.ndarray]], np.ndarray, np.ndarray, np.ndarray]:
+        """Logits within the classes of ``ids``, but the mark's and those of one word: all rows in one array, as their lengths differ.
+
+        (the tokens by class, the logits, (words, rows, logits) of each class, where each row starts, its length, the place of its token's logit)
+        """
+        cls = self.class_of[ids]
+        order = np.flatnonzero(self.sizes[cls] > 1)
+        order = order[np.argsort(cls[order].astype(np.int16), kind="stable")]
+        cls = cls[order]
+        width = self.sizes[cls]
+        ends = np.cumsum(width)
+        start = ends - width
+        flat, H = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.float32), H.take(order, axis=0)
+        bounds = np.searchsorted(cls, np.arange(self.classes)).tolist()
+        groups = []
+        for c, (i, j) in enumerate(zip(bounds, bounds[1:], strict=False)):
+            if i < j:
+                words = slice(int(self.first[c]), int(self.first[c] + self.sizes[c]))
+                a = flat[start[i] : ends[j - 1]].reshape(j - i, -1)
+                np.matmul(H[i:j], O[words].T, out=a)
+                groups.append((words, slice(i, j), a))
+        return order, flat, groups, start, width, start + ids[order] - self.first[cls]
 
     def log_probs(self, H: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural logs of the probabilities of ``ids`` after the states ``H``."""
         w = self.w
         cls = self.class_of[ids]
-
-        def logs(a: np.ndarray, right: np.ndarray) -> np.ndarray:
-            _, total, top = _exp_rows(a)
-            return a[np.arange(len(a)), right] - top - np.log(total)
-
+        H = _and_one(H)
+        C, O = np.concatenate([w["C"], w["c"][None]]), np.concatenate([w["O"], w["o"][:, None]], axis=1)
         out = np.empty(len(ids), dtype=np.float32)
         for k in range(0, len(ids), _ROWS):
-            a = H[k : k + _ROWS] @ w["C"]
-            a += w["c"]
-            out[k : k + _ROWS] = logs(a, cls[k : k + _ROWS])
-        for words, at in self._in_class(cls):
-            a = H.take(at, axis=0) @ w["O"][words].T
-            a += w["o"][words]
-            out[at] += logs(a, ids[at] - words.start)
+            a = H[k : k + _ROWS] @ C
+            _, total, top = _exp_rows(a)
+            out[k : k + _ROWS] = a[np.arange(len(a)), cls[k : k + _ROWS]] - top - np.log(total)
+        order, flat, _, start, width, right = self._inside(H, ids, O)
+        if len(order):
+            logit = flat[right]
+            total, top = _exp_runs(flat, start, width)
+            out[order] += logit - top - np.log(total)
         return out
 
     def _loss(self, H: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """Gradients of the mean loss: of ``H`` and of the output weights."""
-        w, m = self.w, len(ids)
-        cls = self.class_of[ids]
-
-        def soft(a: np.ndarray, right: np.ndarray) -> np.ndarray:
-            e, total, _ = _exp_rows(a)
-            e *= (1 / (total * np.float32(m)))[:, None]
-            e[np.arange(len(e)), right] -= np.float32(1 / m)
-            return e
-
-        a = H @ w["C"]
-        a += w["c"]
-        d = soft(a, cls)
-        dH, g = d @ w["C"].T, {"C": H.T @ d, "c": np.ones(m, dtype=np.float32) @ d, "O": np.zeros_like(w["O"]), "o": np.zeros_like(w["o"])}
-        for words, at in self._in_class(cls):
-            h = H.take(at, axis=0)
-            a = h @ w["O"][words].T
-            a += w["o"][words]
-            d = soft(a, ids[at] - words.start)
-            dH[at] += d @ w["O"][words]
-            g["O"][words], g["o"][words] = d.T @ h, np.ones(len(at), dtype=np.float32) @ d
-        return dH, g
+        w, m, n = self.w, len(ids), self.n
+        cls, each = self.class_of[ids], np.float32(1 / m)
+        H = _and_one(H)
+        C, O = np.concatenate([w["C"], w["c"][None]]), np.concatenate([w["O"], w["o"][:, None]], axis=1)
+        dH, gC, gO = np.empty((m, n), dtype=np.float32), np.zeros_like(C), np.zeros_like(O)
+        for k in range(0, m, _ROWS):
+            h = H[k : k + _ROWS]
+            d, total, _ = _exp_rows(h @ C)
+            d *= (each / total)[:, None]
+            d[np.arange(len(d)), cls[k : k + _ROWS]] -= each
+            np.matmul(d, w["C"].T, out=dH[k : k + _ROWS])
+            gC += h.T @ d
+        order, flat, groups, start, width, right = self._inside(H, ids, O)
+        if len(order):
+            total, _ = _exp_runs(flat, start, width)
+            flat *= np.repeat(each / total, width)
+            flat[right] -= each
+            H, inside = H.take(order, axis=0), np.empty((len(order), n), dtype=np.float32)
+            for words, at, d in groups:
+                np.matmul(d, w["O"][words], out=inside[at])
+                np.matmul(d.T, H[at], out=gO[words])
+            dH[order] += inside
+        return dH, {"C": gC[:n], "c": gC[n], "O": gO[:, :n], "o": gO[:, n]}
 
     def train(self, docs: list[np.ndarray], epochs: int = 3, streams: int = 32, rate: float = 4e-3, adam: Adam | None = None) -> None:
         """``docs``: token places, ends included, read as ``streams`` parallel streams of equal length.
@@ -180,18 +212,22 @@ class Model:
         text = np.resize(flat, per * streams).reshape(streams, per).T
         before = np.concatenate([np.concatenate([[0], text[-1, :-1]]).astype(text.dtype)[None], text[:-1]])
         adam = adam or Adam(self.w, rate)
+        inputs, states = np.empty((2, self.WINDOW, 3 * self.n, streams), dtype=np.float32), np.empty((4, self.WINDOW, self.n, streams), dtype=np.float32)
         for epoch in range(epochs):
             adam.rate = rate / (1 + epoch)
-            h = np.zeros((streams, self.n), dtype=np.float32)
+            h = np.zeros((self.n, streams), dtype=np.float32)
             for a in range(0, per, self.WINDOW):
                 x_ids, y = before[a : a + self.WINDOW], text[a : a + self.WINDOW].ravel()
                 e = self.w["E"].take(x_ids, axis=0)
-                x = e @ self.w["W"] + self.w["b"]
-                H, held = gru_run(x, h, self.w["U"], fresh=x_ids == 0)
-                dH, g = self._loss(H.reshape(-1, self.n), y)
-                dx, g["U"] = gru_back(dH.reshape(H.shape), held, self.w["U"])
-                flat_dx = dx.reshape(-1, dx.shape[2])
-                g["W"], g["b"] = e.reshape(-1, self.n).T @ flat_dx, flat_dx.sum(axis=0)
+                x = np.matmul(self.w["W"].T, e.transpose(0, 2, 1), out=inputs[0, : len(e)])
+                x += self.w["b"][:, None]
+                H, held = wide_run(x, h, self.w["U"], x_ids == 0, states[:3])
+                dH, g = self._loss(H.transpose(0, 2, 1).reshape(-1, self.n), y)
+                d = states[3, : len(e)]
+                d[...] = dH.reshape(-1, streams, self.n).transpose(0, 2, 1)
+                dx, g["U"] = wide_back(d, held, self.w["U"], inputs[1])
+                flat_dx = dx.transpose(0, 2, 1).reshape(-1, dx.shape[1])
+                g["W"], g["b"] = e.reshape(-1, self.n).T @ flat_dx, np.ones(len(flat_dx), dtype=np.float32) @ flat_dx
                 g["E"] = np.zeros_like(self.w["E"])
                 order = np.argsort(x_ids.ravel().astype(np.int16) if self.words < 1 << 15 else x_ids.ravel(), kind="stable")
                 own = x_ids.ravel()[order]
@@ -201,32 +237,32 @@ class Model:
                 h = H[-1]
 
     def score(self, ids: np.ndarray, per_text: np.ndarray) -> np.ndarray:
-        """Natural log-probability of each text, read to its end, windows carrying the state on."""
-        table = self.w["E"] @ self.w["W"] + self.w["b"]
+        """Natural log-probability of each text, read to its end with the state carried on."""
+        table = np.ascontiguousarray((self.w["E"] @ self.w["W"] + self.w["b"]).T)
         order = np.argsort(-per_text, kind="stable")
         first = (np.cumsum(per_text) - per_text)[order]
         length = per_text[order]
         total = np.zeros(len(per_text), dtype=np.float64)
-        h = np.zeros((len(per_text), self.n), dtype=np.float32)
+        h = np.zeros((self.n, len(per_text)), dtype=np.float32)
         last = np.zeros(len(per_text), dtype=np.int64)
-        for a in range(0, int(length[0]) if len(length) else 0, self.WINDOW):
-            live = int(np.searchsorted(-length, -a))  # texts longer than a
-            states, wanted, owner = [], [], []
-            for t in range(a, a + self.WINDOW):
-                live = int(np.searchsorted(-length[:live], -t))
-                if not live:
-                    break
-                h[:live] = gru_step(table[last[:live]], h[:live], self.w["U"])
-                y = ids[first[:live] + t]
-                states.append(h[:live].copy())
-                wanted.append(y)
-                owner.append(live)
-                last[:live] = y
-            p = self.log_probs(np.concatenate(states), np.concatenate(wanted))
-            at = 0
-            for n in owner:
-                total[:n] += p[at : at + n]
-                at += n
+        longest = int(length[0]) if len(length) else 0
+        live = np.searchsorted(-length, -np.arange(longest)).tolist()  # texts longer than each step's number
+        states, wanted, held = [], [], 0
+        for t, n in enumerate(live):
+            if n < h.shape[1]:
+                h, last, first = h[:, :n].copy(), last[:n], first[:n]
+            h = wide_step(table.take(last, axis=1), h, self.w["U"])
+            last = ids.take(first + t)
+            states.append(h.T)
+            wanted.append(last)
+            held += n
+            if held >= _STEPS or t + 1 == longest:
+                p = self.log_probs(np.concatenate(states), np.concatenate(wanted))
+                at = 0
+                for y in wanted:
+                    total[: len(y)] += p[at : at + len(y)]
+                    at += len(y)
+                states, wanted, held = [], [], 0
         out = np.empty(len(per_text), dtype=np.float64)
         out[order] = total
         return out
