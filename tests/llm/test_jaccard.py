@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from voxelark.llm import jaccard as j
@@ -62,6 +63,37 @@ def test_shared_class_numbers_are_made_anew(messy, monkeypatch):
     assert seed == 1 and firsts.count() == all_docs.filter("n > 0").select("n", "cls", "other").distinct().count()
 
 
+def test_groups_go_over_batches():
+    rows = [(1, 0, 0), (1, 0, 0), (1, 0, 1), (2, 0, 1), (2, 0, 1), (2, 0, 1), (2, 1, 1), (-5, 0, 0)]
+    whole = pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["g", "lo", "hi"])
+    for step in (1, 2, 3, 5, 8):
+        cut = [whole.slice(a, step) for a in range(0, len(rows), step)]
+        got = [[tuple(r.values()) for r in t.to_pylist()] for t in j._groups_of(iter([whole.slice(0, 0), *cut]))]
+        assert got == [rows[:2], rows[2:3], rows[3:6], rows[6:7], rows[7:]]
+    assert not list(j._groups_of(iter([])))
+
+
+def test_small_groups_share_a_stream(spark, monkeypatch):
+    """Pairs across components are the same when groups are cut by small batches; no group has an Arrow stream of its own."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 62, 40)).astype(np.uint64) for _ in range(30)]
+    about = spark.createDataFrame([(c, 40, bytearray(j.bit_sketches(np.array([40]), np.concatenate([sets[c // 4][:38], sets[c % 30][-2:]]))[0])) for c in range(120)], "cls long, n long, sketch binary")
+    groups = spark.createDataFrame([(g, [*range(4 * g, 4 * g + 4), *range(8 * g % 120, 8 * g % 120 + 3)]) for g in range(30)], "g long, members array<long>")
+    comp = spark.createDataFrame([(4 * g + 1, 4 * g) for g in range(30)], "node long, comp long")
+    refuted = spark.createDataFrame([(4 * g + 2, [4 * g + 3]) for g in range(9)], "cls long, no array<long>")
+    results = []
+    for most in (10_000, 3):
+        monkeypatch.setattr(j, "_CHUNK", 4)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+        try:
+            out = j._next_pairs(groups, about, comp, refuted, j.Plan(85, 100), 1)
+            assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+            results.append(sorted((r.g, sorted(r.open), sorted(zip(r.a, r.b, strict=True))) for r in out.collect()))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(results[0]) > 20 and results[0] == results[1]
+
+
 def test_empty(nothing):
     assert j.jaccard_components(nothing).count() == 0
 

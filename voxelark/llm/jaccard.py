@@ -320,6 +320,26 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int, seed: int) -> DataFrame:
     return found.mapInArrow(run, "cls long, shingles array<long>")
 
 
+def _groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one (g, lo, hi) at a time, of rows sorted by these; a group may go over several batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("g", "lo", "hi")])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(keys[:, a].tolist())
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, z - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _next_pairs(groups: DataFrame, about: DataFrame, comp: DataFrame, refuted: DataFrame, plan: Plan, nearest: int) -> DataFrame:
     """For groups that span components: rows (g, open, a, b).
 
@@ -327,7 +347,8 @@ def _next_pairs(groups: DataFrame, about: DataFrame, comp: DataFrame, refuted: D
     settled for good. ``a``, ``b``: the ``nearest`` such pairs of each member outside the chunk's largest
     component; every pair across components has an end there. Groups are cut into chunks of about
     ``_CHUNK`` members and compared chunk against chunk, so no task holds more than two chunks of
-    a group.
+    a group. Groups, most of which are small, go to a task one after the other in batches of many,
+    not as an Arrow stream each.
     """
     rows = groups.withColumn("parts", F.ceil(F.size("members") / _CHUNK).cast("int")).select("g", "parts", F.explode("members").alias("cls"))
     rows = rows.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
@@ -338,7 +359,7 @@ def _next_pairs(groups: DataFrame, about: DataFrame, comp: DataFrame, refuted: D
     rows = rows.select("g", "cls", "comp", "n", "sketch", "no", side.alias("pair")).select("g", "pair.*", "cls", "comp", "n", "sketch", "no")
     lists = pa.list_(pa.int64())
 
-    def run(table: pa.Table) -> pa.Table:
+    def across(table: pa.Table) -> pa.RecordBatch | None:
         cls, comp, n = (table.column(c).to_numpy() for c in ("cls", "comp", "n"))
         no = table.column("no").to_pylist()
         sketch = [np.frombuffer(s, dtype=np.uint64) for s in table.column("sketch").to_pylist()]
@@ -359,12 +380,18 @@ def _next_pairs(groups: DataFrame, about: DataFrame, comp: DataFrame, refuted: D
                     b.append(max(cls[i], cls[j]))
                 open_[i] = True
                 open_[others] = True
-        names = ["g", "open", "a", "b"]
         if not a:
-            return pa.table([pa.array([], type=pa.int64()), *[pa.array([], type=lists)] * 3], names=names)
-        return pa.table([pa.array([table.column("g")[0].as_py()]), *(pa.array([x], type=lists) for x in (cls[open_], a, b))], names=names)
+            return None
+        columns = [pa.array([table.column("g")[0].as_py()]), *(pa.array([x], type=lists) for x in (cls[open_], a, b))]
+        return pa.RecordBatch.from_arrays(columns, ["g", "open", "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups_of(batches):
+            if (found := across(table)) is not None:
+                yield found
 
-    return rows.groupBy("g", "lo", "hi").applyInArrow(run, "g long, open array<long>, a array<long>, b array<long>")
+    keys = ("g", "lo", "hi")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "g long, open array<long>, a array<long>, b array<long>")
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
